@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from textprep.functions.cleaners import word_basic
 from textprep.functions.scalars import as_text, digest
 from textprep.operators.dedup import Order, resolve
+from textprep.operators.joins import join_labels
 from textprep.operators.profile import class_shares
 from textprep.operators.rows import drop_if_present, drop_null, min_length
 from textprep.sources.labelled import PROFILE_COLUMNS
@@ -28,8 +29,19 @@ def prepare(
     return resolve(_clean(df, marks, min_chars), "clean_text", order=order)
 
 
-def class_profile(df: DataFrame, marks: str = "keep", min_chars: int | None = None) -> DataFrame:
-    """Class shares after preparation. No text is needed behind the cleaning, so the
-    aggregate groups by its digest and shuffles 32 bytes per distinct text."""
-    rows = _clean(df, marks, min_chars).select(digest("clean_text").alias("key"), "label")
-    return class_shares(resolve(rows, "key"))
+def class_profile(
+    texts: DataFrame,
+    labels: DataFrame | None = None,
+    marks: str = "keep",
+    min_chars: int | None = None,
+) -> DataFrame:
+    """Class shares after preparation.
+
+    No text is needed behind the cleaning, so each is reduced to its digest in the
+    scan. ``labels`` (``id``, ``label``) joins after that: neither this join nor the
+    aggregate moves a text.
+    """
+    keyed = _clean(texts, marks, min_chars).withColumn("key", digest("clean_text"))
+    if labels is not None:
+        keyed = join_labels(keyed.select("id", "key"), labels)
+    return class_shares(resolve(keyed.select("key", "label"), "key"))

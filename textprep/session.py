@@ -29,22 +29,30 @@ def build_session(
     return builder.getOrCreate()
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """Write the frame once to the reliable checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The reliable checkpoint folder.
 
-    Cuts the lineage before a result is used several times, and survives lost
-    executors. The folder is the one the cluster names in ``spark.checkpoint.dir``;
-    only a local session without one gets a folder of its own.
+    It is the one the cluster names in ``spark.checkpoint.dir``; only a local session
+    without one gets a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="textprep-")
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="textprep-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """Write the frame once to the shared folder and read it from there.
+
+    Cuts the lineage before a result is used several times, and survives lost
+    executors.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
