@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textprep.functions.scalars import digest
+from textprep.operators.joins import spread_lookup
 
 Order = Column | str | Sequence[str]
 
@@ -30,16 +31,20 @@ def keep_first(df: DataFrame, key: str, order: Order = ("source_rank", "id")) ->
     return df.groupBy(key).agg(*rest).select(*df.columns)
 
 
+def _marked(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows with ``_n``: the row count of their key if it is among ``keys``, else null."""
+    return spread_lookup(keyed, keys.select("_key", "_n"), "_key", ["_n"], [F.desc("_n")])
+
+
 def duplicate_members(df: DataFrame, key: str) -> DataFrame:
     """Every row whose ``key`` occurs more than once.
 
     The repeated keys are found by a pre-aggregated count and joined back by their
-    digest; texts themselves are not join keys. A hot key sits on the left side of
-    the semi join, which adaptive execution splits.
+    digest; texts themselves are not join keys, and frequent keys are not gathered.
     """
     keyed = df.withColumn("_key", digest(key))
-    repeated = keyed.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1")
-    return keyed.join(repeated.select("_key"), "_key", "left_semi").drop("_key")
+    repeated = keyed.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1")
+    return _marked(keyed, repeated).filter("_n is not null").select(*df.columns)
 
 
 def count_duplicate_members(df: DataFrame, key: str) -> DataFrame:
@@ -69,11 +74,10 @@ def drop_conflicts(df: DataFrame, key: str, label: str = "label") -> DataFrame:
     keyed = df.withColumn("_key", digest(key))
     conflicts = (
         keyed.groupBy("_key")
-        .agg(F.min(label).alias("lo"), F.max(label).alias("hi"))
+        .agg(F.min(label).alias("lo"), F.max(label).alias("hi"), F.count("*").alias("_n"))
         .filter("lo <> hi")
-        .select("_key")
     )
-    return keyed.join(conflicts, "_key", "left_anti").drop("_key")
+    return _marked(keyed, conflicts).filter("_n is null").select(*df.columns)
 
 
 def resolve(

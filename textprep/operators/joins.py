@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def join_labels(texts: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
@@ -10,13 +10,44 @@ def join_labels(texts: DataFrame, labels: DataFrame, key: str = "id") -> DataFra
     return texts.join(labels, key, "inner")
 
 
-def bounded(vocab: DataFrame, size: int | None) -> DataFrame:
-    """The vocabulary marked for broadcast if its size is capped.
+HOT_KEYS = 1_000
 
-    ``limit`` makes the cap hold for whatever frame is passed in. Without a cap the
-    join shuffles and adaptive execution splits the frequent terms.
+
+def spread_lookup(
+    rows: DataFrame, table: DataFrame, key: str, values: list[str], hottest: list[Column]
+) -> DataFrame:
+    """Left join on ``key`` with a table of any size whose keys are unique.
+
+    A frequent key would send all its rows to one task. The :data:`HOT_KEYS` keys that
+    come first by ``hottest`` are broadcast and settle their rows at once; these rows
+    then pass the shuffle of the second join under a key of their own, spread evenly, as
+    do rows without a key.
+    No key beyond the hot ones can hold more than ``1 / HOT_KEYS`` of the rows counted.
     """
-    return vocab if size is None else F.broadcast(vocab.limit(size))
+    kind = rows.schema[key].dataType
+    hot = table.orderBy(*hottest).limit(HOT_KEYS)
+    hot = F.broadcast(hot.select(key, F.struct(*values).alias("_hot")))
+    cold = table.select(F.col(key).alias("_key"), F.struct(*values).alias("_cold"))
+    own = F.concat(F.lit("\0"), F.xxhash64(*rows.columns).cast("string")).cast(kind)
+    open_key = F.col("_hot").isNull() & F.col(key).isNotNull()
+    probe = F.when(open_key, F.col(key)).otherwise(own)
+    found = rows.join(hot, key, "left").withColumn("_key", probe).join(cold, "_key", "left")
+    both = F.coalesce("_hot", "_cold")
+    return found.select(*rows.columns, *[both[v].alias(v) for v in values])
+
+
+def bounded(vocab: DataFrame, size: int) -> DataFrame:
+    """The vocabulary marked for broadcast; ``limit`` makes its cap hold for any frame."""
+    return F.broadcast(vocab.limit(size))
+
+
+def lookup_terms(
+    rows: DataFrame, vocab: DataFrame, values: list[str], hottest: list[Column], size: int | None
+) -> DataFrame:
+    """Left join on ``term``: by broadcast if the vocabulary is capped at ``size``."""
+    if size is None:
+        return spread_lookup(rows, vocab, "term", values, hottest)
+    return rows.join(bounded(vocab.select("term", *values), size), "term", "left")
 
 
 def lookup_vectors(

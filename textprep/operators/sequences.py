@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from textprep.functions.scalars import seeded_normal
 from textprep.functions.text import _col
-from textprep.operators.joins import bounded, lookup_vectors
+from textprep.operators.joins import lookup_terms, lookup_vectors
 from textprep.operators.ranking import global_rank, top_n
 
 OOV = 1
@@ -40,7 +40,7 @@ def lookup_ids(
     Rows without tokens appear once, with a null term.
     """
     exploded = df.select(*keys, F.posexplode_outer(tokens).alias("pos", "term"))
-    return exploded.join(bounded(vocab.select("term", "idx"), num_words), "term", "left")
+    return lookup_terms(exploded, vocab, ["idx"], [F.asc("idx")], num_words)
 
 
 def encode(

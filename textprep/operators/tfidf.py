@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textprep.functions.text import _col
-from textprep.operators.joins import bounded
+from textprep.operators.joins import bounded, lookup_terms
 
 
 def _let(value: Column, body) -> Column:
@@ -87,8 +87,9 @@ def tfidf_weights(
     A document's entries are gathered before the exchange, which carries one row
     per document; the length is then a computation inside that row.
     """
-    table = bounded(vocab.select("term", smooth_idf("df", n_docs).alias("idf")), max_features)
-    raw = counts.join(table, "term").withColumn(
+    idf = vocab.select("term", "df", smooth_idf("df", n_docs).alias("idf"))
+    found = lookup_terms(counts, idf, ["idf"], [F.desc("df")], max_features)
+    raw = found.filter("idf is not null").withColumn(
         "w", (F.log(F.col("tf").cast("double")) + 1.0) * F.col("idf")
     )
     rows = raw.groupBy(*keys).agg(F.collect_list(F.struct("term", "w")).alias("e"))
