@@ -57,7 +57,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return src.read_table(spark, f"{sf}/documents.parquet", "doc_id")
 
 
 def tweet() -> Column:
@@ -128,7 +128,7 @@ def pages_text() -> Column:
 
 
 def on_pages(f: Callable[[Column], Column]) -> Query:
-    return lambda spark, sf: table(spark, sf, "pages").select(
+    return lambda spark, sf: src.read_table(spark, f"{sf}/pages.parquet", "page_id").select(
         "page_id", f(pages_text()).alias("result")
     )
 
@@ -866,8 +866,7 @@ def modelling_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def train_and_test(spark: SparkSession, sf: str, folds: int = 3):
-    train, test = classical.split_and_fold(modelling_rows(spark, sf), 0.2, folds)
-    return stable(train), test
+    return classical.split_and_fold(modelling_rows(spark, sf), 0.2, folds)
 
 
 def scored(model, test: DataFrame) -> DataFrame:

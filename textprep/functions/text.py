@@ -50,17 +50,18 @@ def strip_social(c: Column | str, marks: str = "keep") -> Column:
 def _keep_only(c: Column | str, members: str, marks: str) -> Column:
     """Remove every character outside ``members``.
 
-    With ``marks='keep'`` a joiner survives between two letters (or marks), where
-    it is part of the spelling, and goes everywhere else.
+    With ``marks='keep'`` a joiner survives between two letters (or marks), where it
+    is part of the spelling, and goes everywhere else. Both rules about joiners start
+    with the joiner itself, so other characters fail them at once.
     """
     members = members.replace(JOINERS, "")
     if marks == "strip":
         return F.regexp_replace(_col(c), f"[^{members}]+", "")
     word_class(marks)
     joiner, letter = f"[{JOINERS}]", r"[\p{L}\p{M}]"
-    pattern = (
-        f"[^{members}{JOINERS}]+|(?<!{letter}){joiner}+|{joiner}+(?!{letter}|{joiner})"
-    )
+    before_other = f"{joiner}+(?!{letter}|{joiner})"
+    after_other = f"{joiner}(?<!{letter}{joiner}){joiner}*"
+    pattern = f"[^{members}{JOINERS}]+|{before_other}|{after_other}"
     return F.regexp_replace(_col(c), pattern, "")
 
 

@@ -28,15 +28,24 @@ def confusion_cells(
     cells = df.groupBy(
         F.col(label).alias("label"), F.col(prediction).cast(kind).alias("prediction")
     ).agg(count.alias("n"))
-    known = F.array_union(F.collect_set("label"), F.collect_set("prediction"))
-    grid = (
-        cells.agg(known.alias("c"))
-        .select(F.explode("c").alias("label"), "c")
-        .select("label", F.explode("c").alias("prediction"))
+    # at most one entry per pair of classes, so one row can hold them all
+    table = cells.agg(F.collect_list(F.struct("label", "prediction", "n")).alias("cells"))
+    known = F.array_compact(
+        F.array_union(F.col("cells")["label"], F.col("cells")["prediction"])
     )
-    return grid.join(cells, ["label", "prediction"], "left").select(
-        "label", "prediction", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
+    found = F.filter(
+        "cells",
+        lambda e: (e["label"] == F.col("label")) & (e["prediction"] == F.col("prediction")),
     )
+    return (
+        table.withColumn("known", known)
+        .withColumn("label", F.explode("known"))
+        .withColumn("prediction", F.explode("known"))
+        .select(
+            "label", "prediction",
+            F.coalesce(F.get(found, 0)["n"], F.lit(0)).cast("bigint").alias("n"),
+        )
+    )
 
 
 def confusion_matrix(

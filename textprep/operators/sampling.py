@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from textprep.functions.scalars import seeded_key
 
 MAX_CLASSES = 10_000
-ROWS_PER_PREFIX = 50_000
+ROWS_PER_PREFIX = 250_000
 
 
 def class_sizes(df: DataFrame, label: str = "label") -> dict:

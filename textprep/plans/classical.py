@@ -48,8 +48,11 @@ def prepare(
 
 
 def split_and_fold(df: DataFrame, test_fraction: float = 0.2, folds: int = 5, seed: int = 42):
-    """``(train, test)``, the train part with folds; the input is written once."""
-    rows = stable(stratified_split(stable(df), test_fraction, seed))
+    """``(train, test)``, the train part with folds.
+
+    The prepared rows are written once; parts and folds are comparisons on top of that.
+    """
+    rows = stratified_split(stable(df), test_fraction, seed)
     train = stratified_folds(rows.filter("split = 'train'"), folds, seed)
     return train, rows.filter("split = 'test'")
 

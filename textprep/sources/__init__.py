@@ -10,6 +10,7 @@ from textprep.sources.labelled import (
     with_label,
 )
 from textprep.sources.reports import write_report
+from textprep.sources.tables import read_table
 from textprep.sources.vectors import limit_vectors, read_vectors, write_vectors
 
 __all__ = [n for n in dir() if not n.startswith("_")]
