@@ -920,7 +920,7 @@ def vector_classifier(spark: SparkSession, sf: str) -> DataFrame:
         data, fn.sequence_tokens("text"), vectors(spark, sf), ["id", "label", "split"], 64,
         NUM_WORDS,
     )
-    features = stable(features)
+    features = stable(features, "id")
     model = weighted_logistic(maxIter=30, regParam=0.01).fit(features.filter("split = 'train'"))
     said = scored(model, features.filter("split = 'test'"))
     return evaluate.classification_report(evaluate.confusion_cells(said))
@@ -930,7 +930,7 @@ def vector_classifier(spark: SparkSession, sf: str) -> DataFrame:
 def word2vec_classifier(spark: SparkSession, sf: str) -> DataFrame:
     data = stable(sampling.stratified_split(
         sequence.prepare(labelled(spark, sf).drop("quality"), sequence.GRU, order=order()), 0.2, 42
-    ))
+    ), "id")
     model = sequence.learned_vectors(sequence.GRU, dim=32, maxIter=20).fit(
         data.filter("split = 'train'")
     )

@@ -52,7 +52,7 @@ def split_and_fold(df: DataFrame, test_fraction: float = 0.2, folds: int = 5, se
 
     The prepared rows are written once; parts and folds are comparisons on top of that.
     """
-    rows = stratified_split(stable(df), test_fraction, seed)
+    rows = stratified_split(stable(df, "id"), test_fraction, seed)
     train = stratified_folds(rows.filter("split = 'train'"), folds, seed)
     return train, rows.filter("split = 'test'")
 
@@ -100,6 +100,5 @@ def evaluate(model: PipelineModel, train: DataFrame, test: DataFrame):
 
 
 def run_search(pipeline: Estimator, maps: list, train: DataFrame, folds: int = 5, **options):
-    """Search on rows that carry folds, re-partitioned by id so that fits repeat exactly."""
-    rows = train.repartition("id").sortWithinPartitions("id")
-    return search(pipeline, maps, rows, folds=folds, **options)
+    """Search on rows that carry folds."""
+    return search(pipeline, maps, train, folds=folds, **options)

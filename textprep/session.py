@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint files go once nothing refers to them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # per-document collect_list meets far more than 128 keys in a task
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
 }
@@ -46,14 +48,30 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def stable(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Partition by ``key`` over all cores if the frame has fewer partitions than that.
+
+    For stored frames in front of per-row work that outweighs reading them, which would
+    leave most cores idle. Later groupings by the key then need no exchange. A frame of
+    enough partitions is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+def stable(df: DataFrame, key: str | None = None) -> DataFrame:
     """Write the frame once to the shared folder and read it from there.
 
     Cuts the lineage before a result is used several times, and survives lost
-    executors.
+    executors. With ``key`` a small result is spread over the cores (and written again,
+    small as it is).
     """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    if key is None:
+        return kept
+    wide = spread(kept, key)
+    return kept if wide is kept else wide.checkpoint(eager=True)
 
 
 def pin_small(df: DataFrame, max_rows: int) -> DataFrame:

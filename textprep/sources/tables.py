@@ -4,17 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textprep.session import spread
+
 
 def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """A Parquet table, for per-row work that outweighs the scan.
+    """A Parquet table; with ``key`` spread over all cores if stored in fewer splits.
 
-    A table of fewer splits than the session has cores would leave most of them idle
-    (a file of one row group is one task, whatever its size). It is then spread by
-    ``key``, which also spares later groupings by that key their exchange. A table of
-    enough splits is left as it is stored.
+    A file of one row group is one task, whatever its size.
     """
     df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if key is None or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
+    return df if key is None else spread(df, key)
