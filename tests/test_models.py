@@ -117,7 +117,7 @@ def test_svm_objective(spark):
     y = (x @ [1.0, -2.0, 0.5] + rng.normal(scale=1.0, size=200) > 1.0).astype(int)
     df = spark.createDataFrame(
         [(v.tolist(), int(c)) for v, c in zip(x, y)], "a array<double>, label int"
-    ).select(array_to_vector("a").alias("features"), "label")
+    ).select(array_to_vector("a").alias("features"), "label").coalesce(1)
     weight = np.where(y == 1, 200 / (2 * y.sum()), 200 / (2 * (200 - y.sum())))
 
     def objective(w, b, c):
@@ -125,19 +125,19 @@ def test_svm_objective(spark):
         return 0.5 * w @ w + c * (weight * hinge).sum()
 
     for c in (0.1, 1.0):
-        m = MarginSVC(C=c, maxIter=300).fit(df)
+        m = MarginSVC(C=c, maxIter=100).fit(df)
         w, b = m.coefficients.toArray(), m.intercept
         best = objective(w, b, c)
         steps = [objective(w + rng.normal(scale=0.05, size=3), b + rng.normal(scale=0.05), c)
                  for _ in range(300)]
         assert best <= min(steps) * 1.002
-        other = LinearSVC(standardization=False, regParam=1.0 / c).fit(df)
+        other = LinearSVC(standardization=False, regParam=1.0 / c, maxIter=50).fit(df)
         assert best < objective(other.coefficients.toArray(), other.intercept, c)
 
 
 def test_svm_search_and_persistence(spark, parts, tmp_path):
     train, test = parts
-    pipeline, maps = classical.svm(FEATURES, maxIter=20)
+    pipeline, maps = classical.svm(FEATURES, maxIter=6)
     assert len(maps) == 4
     found = classical.run_search(pipeline, maps, train, folds=3)
     chosen, score = best_parameters(found)
@@ -161,7 +161,7 @@ class CountingTfidf(TfidfVectors):
 
 def test_features_are_fitted_once_per_fold(parts):
     train, _ = parts
-    svc = MarginSVC(maxIter=5)
+    svc = MarginSVC(maxIter=2)
     stages = [WordTerms(), CountingTfidf(minDF=3, maxFeatures=100), Chi2Selector(k=20), svc]
     search(SharedFeatures(stages=stages), grid(svc, {"C": [0.1, 1.0, 10.0]}), train, folds=3)
     assert CountingTfidf.fits == 3 + 1  # one per fold, one for the final model
@@ -169,7 +169,7 @@ def test_features_are_fitted_once_per_fold(parts):
 
 def test_probability_follows_the_margin(parts):
     train, test = parts
-    model = classical.svm_with_probability(FEATURES, folds=3, maxIter=20).fit(train)
+    model = classical.svm_with_probability(FEATURES, folds=3, maxIter=6).fit(train)
     rows = model.transform(test).select(
         vector_to_array("margin")[0].alias("m"), vector_to_array("probability")[1].alias("p")
     ).collect()
@@ -212,7 +212,7 @@ def test_vector_classifiers(spark, texts):
 
 def test_learned_vectors(texts):
     rows = sequence.prepare(texts, sequence.GRU).cache()
-    model = sequence.learned_vectors(sequence.GRU, dim=16, iterations=3, partitions=2, maxIter=50).fit(rows)
+    model = sequence.learned_vectors(sequence.GRU, dim=16, iterations=3, partitions=2, maxIter=20).fit(rows)
     assert BalancedAccuracyEvaluator().evaluate(model.transform(rows)) > 0.9
 
 
