@@ -12,6 +12,7 @@ from __future__ import annotations
 SPACE = r"\x09-\x0d\x1c-\x20\x{85}\p{Z}"
 
 # Zero-width non-joiner and joiner, part of Indic spelling.
+ZWNJ, ZWJ = "\u200c", "\u200d"
 JOINERS = r"\x{200C}\x{200D}"
 
 # Script blocks that the script filters may keep.
