@@ -741,9 +741,10 @@ def chi2_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def chi2_projected(spark: SparkSession, sf: str) -> DataFrame:
     """Weights of the selected terms."""
-    kept = tfidf.project_terms(
-        weighted(spark, sf), tfidf.select_k_best(scores(spark, sf), FEATURES.k), FEATURES.k
-    )
+    found = weighted(spark, sf)
+    sizes = sampling.class_sizes(plain_labels(spark, sf))
+    best = tfidf.select_k_best(tfidf.chi2_scores(found, sizes), FEATURES.k)
+    kept = tfidf.project_terms(found, best, FEATURES.k)
     return kept.select("id", "term", r6("weight").alias("weight"))
 
 

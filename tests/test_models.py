@@ -191,8 +191,9 @@ def test_forest_grid_reaches_the_inner_classifier(parts):
 def test_mean_vectors(spark):
     table = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [3.0, 4.0])], "term string, vector array<float>")
     df = spark.createDataFrame([(1, ["a", "b", "x"]), (2, ["x"]), (3, [])], "id int, t array<string>")
-    rows = mean_vectors(df, "t", table, ["id"], 2, 10).collect()
-    assert {r["id"]: list(r["features"]) for r in rows} == {1: [2.0, 2.0], 2: [0.0, 0.0], 3: [0.0, 0.0]}
+    for limit in (10, 1):  # below and above the size of the table
+        rows = mean_vectors(df, "t", table, ["id"], 2, limit).collect()
+        assert {r["id"]: list(r["features"]) for r in rows} == {1: [2.0, 2.0], 2: [0.0, 0.0], 3: [0.0, 0.0]}
 
 
 def test_vector_classifiers(spark, texts):

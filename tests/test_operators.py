@@ -154,6 +154,8 @@ def test_encode(spark):
     )
     plain = {r["id"]: r["seq"] for r in sequences.encode(df, "t", vocab, ["id"], 10).collect()}
     assert plain == {1: [3, 2, 3], 2: [], 3: [], 4: []}
+    cut = {r["id"]: r["seq"] for r in sequences.encode(df, "t", vocab, ["id"], 3).collect()}
+    assert cut == {1: [2], 2: [], 3: [], 4: []}
     oov = sequences.encode(df, "t", vocab, ["id"], None, oov=True).collect()
     assert {r["id"]: r["seq"] for r in oov} == {1: [3, 1, 2, 3], 2: [], 3: [1], 4: []}
 
@@ -238,6 +240,9 @@ def test_tfidf_and_chi2(spark, corpus, cap):
     found = {r["term"]: r["chi2"] for r in chi2.collect()}
     assert found.keys() == scores.keys()
     assert all(abs(found[t] - scores[t]) < 1e-9 for t in scores)
+    if cap:  # a vocabulary beyond the stated size is not cut, it goes another way
+        other = tfidf.tfidf_weights(counts, vocab, n, ["id", "label"], 2)
+        assert {(r["id"], r["term"]) for r in other.collect()} == want.keys()
     best = [r["term"] for r in tfidf.select_k_best(chi2, 3).collect()]
     assert set(best) == set(sorted(scores, key=lambda t: (-scores[t], t))[:3])
     kept_rows = tfidf.project_terms(weighted, chi2.filter(F.col("term").isin(best)), 3)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from textprep.session import pin_small
+
 
 def join_labels(texts: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
     """Texts with a label; unmatched rows of either side go."""
@@ -36,18 +38,19 @@ def spread_lookup(
     return found.select(*rows.columns, *[both[v].alias(v) for v in values])
 
 
-def bounded(vocab: DataFrame, size: int) -> DataFrame:
-    """The vocabulary marked for broadcast; ``limit`` makes its cap hold for any frame."""
-    return F.broadcast(vocab.limit(size))
-
-
 def lookup_terms(
     rows: DataFrame, vocab: DataFrame, values: list[str], hottest: list[Column], size: int | None
 ) -> DataFrame:
-    """Left join on ``term``: by broadcast if the vocabulary is capped at ``size``."""
-    if size is None:
-        return spread_lookup(rows, vocab, "term", values, hottest)
-    return rows.join(bounded(vocab.select("term", *values), size), "term", "left")
+    """Left join on ``term``: by broadcast if the vocabulary has no more than ``size`` rows.
+
+    The size is checked, not assumed; a larger vocabulary goes through the shuffle.
+    """
+    if size is not None:
+        table = vocab.select("term", *values)
+        small = pin_small(table, size)
+        if small is not table:
+            return rows.join(small, "term", "left")
+    return spread_lookup(rows, vocab, "term", values, hottest)
 
 
 def lookup_vectors(
@@ -55,10 +58,11 @@ def lookup_vectors(
 ) -> DataFrame:
     """Every vocabulary row with its vector, or null.
 
-    A capped vocabulary first picks its rows out of the vector table without
-    shuffling that table; the left join then has two small sides.
+    A vocabulary of no more than ``size`` rows first picks its vectors out of the table
+    without shuffling that table; the left join then has two small sides.
     """
+    vectors = vectors.select("term", "vector")
     if size is not None:
-        terms = F.broadcast(vocab.select("term").limit(size))
-        vectors = vectors.join(terms, "term", "left_semi")
-    return vocab.join(vectors.select("term", "vector"), "term", "left")
+        vocab = pin_small(vocab, size)
+        vectors = vectors.join(vocab.select("term"), "term", "left_semi")
+    return vocab.join(vectors, "term", "left")

@@ -37,9 +37,12 @@ def lookup_ids(
 ) -> DataFrame:
     """One row per token: keys, position, term and vocabulary id (null if unknown).
 
-    Rows without tokens appear once, with a null term.
+    Ids from ``num_words`` on count as unknown. Rows without tokens appear once, with a
+    null term.
     """
     exploded = df.select(*keys, F.posexplode_outer(tokens).alias("pos", "term"))
+    if num_words is not None:
+        vocab = vocab.filter(F.col("idx") < num_words)
     return lookup_terms(exploded, vocab, ["idx"], [F.asc("idx")], num_words)
 
 

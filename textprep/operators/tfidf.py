@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textprep.functions.text import _col
-from textprep.operators.joins import bounded, lookup_terms
+from textprep.operators.joins import lookup_terms
+from textprep.session import pin_small
 
 
 def _let(value: Column, body) -> Column:
@@ -130,5 +131,5 @@ def select_k_best(scores: DataFrame, k: int, score: str = "chi2", digits: int =
 
 
 def project_terms(weights: DataFrame, selected: DataFrame, k: int) -> DataFrame:
-    """The weights of the selected terms."""
-    return weights.join(bounded(selected.select("term"), k), "term", "left_semi")
+    """The weights of the selected terms, of which there should be ``k`` at most."""
+    return weights.join(pin_small(selected.select("term"), k), "term", "left_semi")
