@@ -647,7 +647,7 @@ def vector_means(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     means = mean_vectors(
-        labelled(spark, sf), fn.sequence_tokens("text"), vectors(spark, sf), ["id"], 64, NUM_WORDS
+        labelled(spark, sf), fn.sequence_tokens("text"), vectors(spark, sf), ["id"], 64, 20_000
     )
     values = vector_to_array("features")
     return means.select(
@@ -919,7 +919,7 @@ def vector_classifier(spark: SparkSession, sf: str) -> DataFrame:
     data = split_texts(spark, sf)
     features = mean_vectors(
         data, fn.sequence_tokens("text"), vectors(spark, sf), ["id", "label", "split"], 64,
-        NUM_WORDS,
+        20_000,
     )
     features = stable(features, "id")
     model = weighted_logistic(maxIter=30, regParam=0.01).fit(features.filter("split = 'train'"))
