@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 import os
 import sys
 import uuid
@@ -956,6 +958,20 @@ def batch_score(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# ---- the training-data subpackage, if it is there ---------------------------------
+
+LIBRARY = frozenset(QUERIES)
+LLM_SQL: dict[str, str] = {}
+if importlib.util.find_spec("textprep.llm") is not None:
+    _llm = importlib.import_module("textprep.llm.queries")
+    QUERIES.update(_llm.QUERIES)
+    LLM_SQL.update(_llm.SQL)
+if importlib.util.find_spec("corpus_pipeline") is not None:
+    _pipeline = importlib.import_module("corpus_pipeline")
+    QUERIES["pipeline"] = _pipeline.run
+    if _pipeline.ORACLE_SQL is not None:
+        LLM_SQL["pipeline"] = _pipeline.ORACLE_SQL
+
 # ---- driver contract --------------------------------------------------------------
 
 
@@ -969,4 +985,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.statements()
+    return {**oracle.statements(), **LLM_SQL}
