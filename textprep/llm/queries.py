@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textprep.llm import packing
+from textprep.llm import bpe, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,3 +29,15 @@ def op3_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
         table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json")
     )
     return packing.pack(pieces)
+
+
+@query
+def op7_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    decoded = bpe.decode(bpe.encode(table(spark, sf, "documents"), path), path)
+    return decoded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids_text", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
