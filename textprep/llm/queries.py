@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textprep.llm import bpe, packing
+from textprep.llm import bpe, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,3 +41,11 @@ def op7_bpe(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("ids_text", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.assess(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", F.round("probability", 6).alias("probability"),
+    )
