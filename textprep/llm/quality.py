@@ -104,8 +104,9 @@ def _share(part: str, whole: str) -> Column:
 RULES: tuple[tuple[str, Callable[[], Column], Callable, Callable], ...] = (
     ("length", lambda: F.col("_m.n_words"), lambda x: x < 20, lambda x: x >= 100),
     ("symbols", lambda: _share("n_symbols", "n_words"), lambda x: x > 0.2, lambda x: x < 0.05),
+    ("symbol share", lambda: _share("n_symbols", "word_chars"), lambda x: x > 0.05, lambda x: x < 0.01),
     ("repeats", lambda: _share("n_repeat_words", "n_words"), lambda x: x > 0.3, lambda x: x < 0.1),
-    ("lines", lambda: _share("n_dup_lines", "n_lines"), lambda x: x > 0.3, lambda x: x < 0.1),
+    ("lines", lambda: _share("n_dup_lines", "n_lines"), lambda x: x > 0.5, lambda x: x < 0.1),
     ("capitals", lambda: _share("n_upper", "n_letters"), lambda x: x > 0.5, lambda x: x < 0.2),
     ("letters", lambda: _share("n_letters", "word_chars"), lambda x: x < 0.7, lambda x: x > 0.85),
     ("word size", lambda: _share("word_chars", "n_words"),
