@@ -11,6 +11,7 @@ is linear in the word.
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import re
 from array import array
@@ -22,13 +23,17 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from textprep.llm.byte_bpe import byte_letters
-from textprep.llm.common import map_batches, text_or_empty
+from textprep.llm.common import ship, text_or_empty
 
 END = "\n"  # stands for the word end; no letter of a byte-level vocabulary
-# Fixed value: the pre-tokens of the file for texts of ASCII letters in lower case.
-ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
-KEPT_WORDS = 800_000
-KEPT_PAIRS = 1_000_000
+# Fixed value: the file's pre-tokens for lower-case texts of code points up to 255. These
+# texts are in normal form already.
+LATIN_WORDS = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+"
+)
+KEPT_WORDS = 400_000
+KEPT_PAIRS = 400_000
+SLICE = 256  # rows that are held as results at a time
 
 
 class _Kept(dict):
@@ -67,16 +72,27 @@ class WordBpe:
             if token in self.halves:
                 raise ValueError(f"{path}: two merges make {left + right!r}")
             self.rank[token], self.halves[token], self.merges[pair] = rank, pair, rank
+        spelled = {
+            t.removesuffix(suffix) + END if t.endswith(suffix) else t: i
+            for t, i in vocab.items()
+            if t not in self.special
+        }
         self.automaton = ahocorasick.Automaton()
-        for token, number in vocab.items():
-            if token not in self.special:
-                letters = token.removesuffix(suffix) + END if token.endswith(suffix) else token
-                self.automaton.add_word(letters, (len(letters), number))
+        self.size: dict[int, int] = {}
+        self.shorter: dict[int, int | None] = {}  # the longest token that begins a token
+        for letters, number in spelled.items():
+            self.automaton.add_word(letters, number)
+            self.size[number] = len(letters)
+            begins = (spelled.get(letters[:k]) for k in range(len(letters) - 1, 0, -1))
+            self.shorter[number] = next((x for x in begins if x is not None), None)
         self.automaton.make_automaton()
         library = Tokenizer.from_file(path)
         self.normalize = library.normalizer.normalize_str
         self.pre_tokens = library.pre_tokenizer.pre_tokenize_str
-        self.to_letters = {b: c for c, b in byte_letters().items() if b < 128}
+        letter_of = {b: c for c, b in byte_letters().items()}
+        self.to_letters = {
+            c: "".join(letter_of[b] for b in chr(c).encode()) for c in range(256)
+        }
         self.pairs: dict[tuple[int, int], bool] = {}
         self.words = _Kept(self._word, KEPT_WORDS)
         self.chunks = _Kept(self._chunk, KEPT_WORDS)
@@ -114,40 +130,48 @@ class WordBpe:
 
     def _word(self, letters: str) -> bytes:
         """Packed ids of one pre-token, given in the vocabulary's letters."""
-        size = len(letters) + 1
-        at: list[list[tuple[int, int]]] = [[] for _ in range(size)]
-        for last, match in self.automaton.iter(letters + END):
-            at[last + 1 - match[0]].append(match)  # short to long, as their ends come in order
+        letters += END
         ids: list[int] = []
-        places = [0]
-        while places[-1] < size:
-            here = at[places[-1]]
-            while here:
-                length, token = here.pop()
-                if places[-1] + length < size and not at[places[-1] + length]:
-                    continue
-                if not ids or self._compatible(ids[-1], token):
-                    ids.append(token)
-                    places.append(places[-1] + length)
+        ends, dead = [0], set()
+        token = self._longest(letters, 0)
+        while True:
+            while token is not None:
+                end = ends[-1] + self.size[token]
+                if end not in dead and (not ids or self._compatible(ids[-1], token)):
                     break
-            else:
+                token = self.shorter[token]
+            if token is None:
                 if not ids:
                     raise ValueError(f"no tokens for {letters[:50]!r}")
-                places.pop()
-                ids.pop()
-        return array("I", ids).tobytes()
+                dead.add(ends.pop())
+                token = self.shorter[ids.pop()]
+                continue
+            ids.append(token)
+            if end == len(letters):
+                return array("I", ids).tobytes()
+            ends.append(end)
+            token = self._longest(letters, end)
+
+    def _longest(self, letters: str, start: int) -> int | None:
+        """The longest token at a place; the word end alone is none."""
+        for _, token in self.automaton.iter_long(letters, start):
+            return token
+        return None
 
     def _chunk(self, chunk: str) -> bytes:
         """Packed ids of what stands between two spaces."""
         if not chunk:
             return b""
+        if chunk.isascii() and chunk.isalpha():
+            return self.words[chunk.lower()]
+        parts = self.specials.split(chunk) if "|>" in chunk else [chunk]
         out = []
-        for part in self.specials.split(chunk):
+        for part in parts:
             if part in self.special:
                 out.append(array("I", [self.special[part]]).tobytes())
-            elif part.isascii():
-                for word in ASCII_WORDS.findall(part.lower()):
-                    out.append(self.words[word if word.isalnum() else word.translate(self.to_letters)])
+            elif part.isascii() or max(part) <= "\xff":
+                for word in LATIN_WORDS.findall(part.lower()):
+                    out.append(self.words[word.translate(self.to_letters)])
             else:
                 out.extend(self.words[w] for w, _ in self.pre_tokens(self.normalize(part)))
         return b"".join(out)
@@ -192,6 +216,21 @@ def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def _mapped(df: DataFrame, columns: list[str], make, schema: str) -> DataFrame:
+    """``make()`` applied to slices of rows, so that few results are in memory at a time."""
+    ship(df.sparkSession)
+
+    def run(batches):
+        step = None
+        for batch in batches:
+            step = step or make()
+            for start in range(0, batch.num_rows, SLICE):
+                arrays = step(batch.slice(start, SLICE))
+                yield pa.RecordBatch.from_arrays(arrays, columns)
+
+    return df.mapInArrow(run, schema)
+
+
 def encode(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -203,42 +242,61 @@ def encode(
 
     def make():
         encoder = word_bpe(tokenizer_path)
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [encoder.encode(x) for x in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"]
-            )
-
-        return step
+        return lambda batch: [
+            batch.column(0),
+            pa.array([encoder.encode(x) for x in batch.column(1).to_pylist()], pa.binary()),
+        ]
 
     source = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return map_batches(source, make, f"doc_id {source.schema[0].dataType.simpleString()}, ids binary")
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return _mapped(source, ["doc_id", "ids"], make, f"doc_id {kind}, ids binary")
 
 
 def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_text, decoded`` of ``doc_id, ids``: decimal ids and token
-    texts, each joined by one space. Null or empty ids give empty strings."""
+    """``doc_id, decoded`` of ``doc_id, ids``: token texts joined by one space. Null or
+    empty ids give an empty string."""
+
+    def make():
+        encoder = word_bpe(tokenizer_path)
+        return lambda batch: [
+            batch.column(0),
+            pa.array([encoder.decode(x or b"").decode() for x in batch.column(1).to_pylist()]),
+        ]
+
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return _mapped(
+        encoded.select("doc_id", "ids"), ["doc_id", "decoded"], make, f"doc_id {kind}, decoded string"
+    )
+
+
+def round_trip(
+    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """:func:`encode` and :func:`decode` in one pass, reduced to digests.
+
+    ``doc_id, n_tokens, ids_sha256, decoded_sha256``, of the decimal ids and of the decoded
+    text, each joined by one space. One Python worker a core instead of two; rows as in
+    :func:`encode`.
+    """
 
     def make():
         encoder = word_bpe(tokenizer_path)
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [x or b"" for x in batch.column(1).to_pylist()]
-            texts = [
-                pa.array([f(x).decode() for x in ids], pa.string())
-                for f in (encoder.decimal, encoder.decode)
+        def step(batch: pa.RecordBatch) -> list[pa.Array]:
+            ids = [encoder.encode(x) for x in batch.column(1).to_pylist()]
+            return [
+                batch.column(0),
+                pa.array([len(x) // 4 for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(encoder.decimal(x)).hexdigest() for x in ids]),
+                pa.array([hashlib.sha256(encoder.decode(x)).hexdigest() for x in ids]),
             ]
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), *texts],
-                ["doc_id", "n_tokens", "ids_text", "decoded"],
-            )
 
         return step
 
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    return map_batches(
-        encoded.select("doc_id", "ids"),
-        make,
-        f"doc_id {kind}, n_tokens long, ids_text string, decoded string",
-    )
+    source = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    columns = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    return _mapped(
+        source, columns, make,
+        f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string",
+    )

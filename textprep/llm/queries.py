@@ -34,13 +34,7 @@ def op3_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op7_bpe(spark: SparkSession, sf: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    decoded = bpe.decode(bpe.encode(table(spark, sf, "documents"), path), path)
-    return decoded.select(
-        "doc_id",
-        "n_tokens",
-        F.sha2("ids_text", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return bpe.round_trip(table(spark, sf, "documents"), path)
 
 
 @query
