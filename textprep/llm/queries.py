@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textprep.llm import bpe, packing, quality
+from textprep.llm import bpe, packing, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,3 +43,8 @@ def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", F.round("probability", 6).alias("probability"),
     )
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
