@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textprep.llm import bpe, packing, quality, toxicity
+from textprep.llm import bpe, chat, packing, quality, toxicity, warc
+from textprep.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,3 +50,74 @@ def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op4_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)],
+        "conv_id long, turn long, role string, text string",
+    )
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionAll(own)
+    read = chat.read_back(chat.format_chats(turns, chat.text_part(F.col("text"))))
+    spoken = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(spoken, ""), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+SQL["op4_chat_formatting"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'),
+                   (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), escaped AS (
+  SELECT *, length(role || text) + length(regexp_replace(role || '|' || text,
+    '([<\[])(\\*(?:/?s>|/?INST\]|image>|audio>|document>))', '\1\\\2', 'g'))
+    - length(role || '|' || text) AS n
+  FROM turns
+), grouped AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text)
+      FILTER (WHERE role = 'assistant'), '') AS learned,
+    CAST(sum(n + 25) AS BIGINT) AS formatted_chars
+  FROM escaped GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned) AS loss_chars,
+  sha256(learned) AS loss_sha256, formatted_chars
+FROM grouped
+"""
+
+
+@query
+def op6_warc(spark: SparkSession, sf: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archive(table(spark, sf, "pages"), folder)
+    return warc.read_index(spark, folder)
+
+
+SQL["op6_warc"] = """
+WITH rows AS (
+  SELECT page_id, url, coalesce(html, '') AS payload FROM pages
+), digests AS (
+  SELECT *, sha1(payload) AS hex,
+    row_number() OVER (PARTITION BY payload ORDER BY page_id NULLS LAST, url) AS place,
+    min(page_id) OVER (PARTITION BY payload) AS first_id
+  FROM rows
+)
+SELECT page_id, octet_length(encode(payload)) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(hex, 5 * (k // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31
+      AS INTEGER) + 1, 1) for k in range(32)], '') AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN place > 1 THEN first_id END AS refers_to
+FROM digests
+"""
