@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textprep.llm import bpe, chat, packing, quality, toxicity, warc
+from textprep.llm import bpe, chat, fingerprint, licenses, packing, quality, toxicity, warc
 from textprep.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,3 +121,13 @@ SELECT page_id, octet_length(encode(payload)) AS payload_bytes,
   CASE WHEN place > 1 THEN first_id END AS refers_to
 FROM digests
 """
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(table(spark, sf, "documents"))
+
+
+@query
+def op1_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprint.compare_edited(table(spark, sf, "documents"))
