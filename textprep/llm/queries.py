@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textprep.llm import bpe, chat, fingerprint, licenses, packing, quality, toxicity, warc
+from textprep.llm import bpe, chat, fingerprint, licenses, ngram_join, packing, quality, toxicity, warc
 from textprep.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +131,8 @@ def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op1_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprint.compare_edited(table(spark, sf, "documents"))
+
+
+@query
+def op5_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf, "documents"), width=3, percent=90)
