@@ -386,3 +386,19 @@ def join(
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "least_id", "doc_id")).alias("component_id"),
     )
+
+
+def one_of_each(
+    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows whose id is the smallest of their class, with the columns they came with.
+
+    Rows without id or without words stay; rows of equal id stay or go together.
+    """
+    classes = join(docs, width, percent, id_col, text_col)
+    gone = write_once(
+        classes.filter("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
+    )
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)

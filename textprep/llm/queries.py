@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textprep.llm import bpe, chat, fingerprint, licenses, ngram_join, packing, quality, toxicity, warc
+from textprep.llm import bpe, chat, fingerprint, licenses, ngram_join, packing, quality, token_counts, toxicity, warc
 from textprep.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,3 +136,19 @@ def op1_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op5_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.join(table(spark, sf, "documents"), width=3, percent=90)
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Three edits a document: a deletion, an insertion and a replacement."""
+    size = F.length(F.coalesce("text", F.lit("")))
+    edits = F.array(*(
+        F.struct(
+            F.floor(size * part / 4).alias("start"), F.lit(gone).cast("long").alias("delete"),
+            F.lit(come).alias("insert"),
+        )
+        for part, gone, come in ((1, 5, ""), (2, 0, " edit'd 42\n"), (3, 7, "Ünïcode  "))
+    ))
+    return token_counts.count_edited(
+        table(spark, sf, "documents"), edits, public_tokenizers.path("byte_bpe_50k.json")
+    )
