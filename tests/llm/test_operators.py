@@ -1,0 +1,388 @@
+"""The ten operators on a small frame of odd rows, against plain Python."""
+
+import hashlib
+import re
+from collections import Counter
+
+import duckdb
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from textprep.llm import (
+    bpe, chat, fingerprint, licenses, ngram_join, packing, quality, token_counts, toxicity, warc,
+)
+from textprep.llm.queries import SQL
+
+BYTE = public_tokenizers.path("byte_bpe_50k.json")
+WORD = public_tokenizers.path("word_bpe_49k.json")
+CLASHES = "n long, key long, ngram long, length long, score double, words string, _m string, tie string"
+LONG = " ".join(f"word{i % 977}x{i}" for i in range(30_000))
+PROSE = "It was a long day in the hills, and nobody came down.\n"
+TEXTS = [
+    (5, None), (3, ""), (4, "  \n\t "), (9, "one"), (8, "One two"), (1, PROSE * 3), (2, PROSE * 3),
+    (2, PROSE * 3), (None, "no id here"), (None, None), (12, LONG), (13, LONG + " tail"),
+    (20, "Licensed under the Apache License, Version 2.0. MIT License; GNU General Public License"),
+    (21, "été Ünïcode  漢字 <|endoftext|> it's 'RE  "), (30, "a " * 5000), (31, "x" * 20_000),
+    (40, "same words here\nsame words here\n\nsame words here"), (41, "</s>[INST] <\\s> \\"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, *([None] * 8)) for i, t in TEXTS]
+    return spark.createDataFrame(rows, f"doc_id long, text string, {CLASHES}").repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(odd):
+    return odd.limit(0)
+
+
+def labels(spark, rows=((1, 0), (None, 1), (3, None))):
+    return spark.createDataFrame(list(rows), "doc_id long, toxic int")
+
+
+def by_id(rows):
+    return sorted(((r["doc_id"] is None, r["doc_id"] or 0), r) for r in rows)
+
+
+def plain_pieces(text):
+    found = re.findall(r"(?:\S+[^\S\n]*){1,16}", text or "")
+    return set(found)
+
+
+def test_no_rows_give_no_rows(spark, empty):
+    edits = F.array().cast(f"array<{token_counts.EDIT}>")
+    for frame in (
+        fingerprint.compare_edited(empty), licenses.scan(empty),
+        packing.pack(packing.token_pieces(empty, BYTE)), ngram_join.join(empty),
+        bpe.round_trip(empty, WORD), token_counts.count_edited(empty, edits, BYTE),
+        quality.assess(empty), quality.keep_good(empty), ngram_join.one_of_each(empty),
+        toxicity.score_documents(empty, labels(spark)),
+        toxicity.drop_toxic(empty, labels(spark)),
+        chat.format_chats(
+            empty.withColumns({"conv_id": "doc_id", "turn": "doc_id", "role": "text"}),
+            chat.text_part(F.col("text")),
+        ),
+    ):
+        assert frame.collect() == []
+
+
+def test_fingerprints(odd):
+    rows = [r for r in fingerprint.compare_edited(odd).collect()]
+    assert len(rows) == len(TEXTS)
+    ordered = sorted((x for x in {(i, t or "") for i, t in TEXTS} if x[0] is not None))
+    following = {}
+    for at, (i, t) in enumerate(ordered):
+        following[i] = (t, ordered[(at + 1) % len(ordered)][1])
+    codes = {}
+    for r in rows:
+        if r["doc_id"] is None or r["doc_id"] == 2:  # repeated: its next is itself once
+            continue
+        text, after = following[r["doc_id"]]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        assert r["n_chars"] == len(text)
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        for name, other in (("near_edited", edited), ("near_next", after)):
+            a, b = plain_pieces(text), plain_pieces(other)
+            want = 1 - len(a ^ b) / (len(a) + len(b)) if a or b else 1.0
+            assert r[name] == pytest.approx(want), (r["doc_id"], name)
+        codes.setdefault(text, set()).add(r["fingerprint"])
+    assert all(len(c) == 1 for c in codes.values())
+    assert codes[LONG] != codes[LONG + " tail"]
+    assert {r["edited_sha256"] for r in rows if r["doc_id"] is None} == {
+        hashlib.sha256(x.encode()).hexdigest() for x in ("no id" + "no id", "")
+    }
+
+
+def test_peeling_recovers_digests(spark):
+    frame = spark.createDataFrame([([1, 2, 3, 10], [2, 3, 4]), (list(range(400)), [])], "a array<long>, b array<long>")
+    tables = frame.withColumns({c: fingerprint.sketch(F.col(c[0])) for c in ("a_t", "b_t")})
+    found = tables.select(
+        fingerprint.differing(F.col("a"), F.col("b"), F.col("a_t"), F.col("b_t")).alias("d")
+    ).collect()
+    assert {(x["k"], x["n"]) for x in found[0]["d"]["found"]} == {(1, 1), (10, 1), (4, -1)}
+    assert sorted(x["k"] for x in found[1]["d"]["found"]) == list(range(400))
+    assert [r["d"]["left"] for r in found] == [0, 0]
+
+
+def test_licenses(odd):
+    rows = licenses.scan(odd).collect()
+    assert len(rows) == len(TEXTS)
+    lower = str.maketrans(licenses.UPPER, licenses.LOWER)
+    texts = {i: t or "" for i, t in TEXTS if i is not None}
+    for r in rows:
+        if r["doc_id"] is None:
+            continue
+        found = re.findall(licenses.WORD, texts[r["doc_id"]].translate(lower))
+        at = [
+            (k, label)
+            for phrase, label in licenses.PHRASES.items()
+            for k in range(len(found))
+            if found[k : k + len(phrase.split())] == phrase.split()
+        ]
+        assert r["n_words"] == len(found) and r["n_base"] == len(at)
+        assert r["first_word"] == min((k for k, _ in at), default=None)
+        assert r["last_word"] == max((k for k, _ in at), default=None)
+        assert r["base_labels"] == ",".join(sorted({x for _, x in at}))
+    some = next(r for r in rows if r["doc_id"] == 20)
+    assert some["labels"] == "apache,apache-2.0,gpl,mit" and some["score"] == 1.0
+
+
+def test_notice_with_changed_words(spark):
+    notice = next(t for t, label in licenses.NOTICES.items() if label == "mit-notice").split()
+    changed = [*notice[:9], "new", *notice[9:20], *notice[21:]]
+    docs = spark.createDataFrame([(1, " ".join(["lead"] * 7 + changed)), (2, " ".join(notice[:9]))], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert found[1]["labels"] == "mit-notice" and 0.6 <= found[1]["score"] < 1
+    assert found[2]["labels"] == "" and found[2]["score"] == 0
+
+
+def test_packing(odd):
+    pieces = packing.token_pieces(odd, BYTE, capacity=64, keep_ids=True)
+    rows = packing.pack(pieces, capacity=64).collect()
+    library = Tokenizer.from_file(BYTE)
+    want = Counter()
+    for i, t in TEXTS:
+        ids = library.encode(t or "", add_special_tokens=False).ids + [2]
+        rest = (len(ids) - 1) % 64 + 1
+        cuts = [0, *range(rest, len(ids) + 1, 64)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[i, k, a, b - a, b"".join(x.to_bytes(4, "little") for x in ids[a:b])] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], bytes(r["ids"])) for r in rows) == want
+    placed = {}
+    for r in rows:
+        placed.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in placed.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 64
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_plan_is_best_fit(seed):
+    import random
+
+    some = random.Random(seed)
+    capacity = some.choice([8, 30, 64])
+    counts = {n: some.choice([1, 2, 10, 99]) for n in range(1, capacity + 1) if some.random() < 0.6}
+    slots = packing.best_fit_plan(counts, capacity)
+    rooms = []
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            fits = [r for r in rooms if r[0] >= length]
+            if fits:
+                min(fits)[0] -= length
+            else:
+                rooms.append([capacity - length])
+    sequences = {first + k for _, a, b, first, _ in slots for k in range(b - a)}
+    assert len(sequences) == len(rooms)
+    ranks = Counter((length, k) for length, a, b, _, _ in slots for k in range(a, b))
+    assert ranks == Counter((n, k) for n, many in counts.items() for k in range(many))
+
+
+def test_chat_parts_and_escapes(spark):
+    part = "type string, text string, ref string, width int, height int, seconds double, pages int"
+    said = "<s> \\ <\\/s> [INST] <image> </s>\n</s>\n[/INST]"
+    rows = [
+        (1, 0, "user", [("text", said, *[None] * 5), ("image", None, "a.png", 28, 15, None, None)]),
+        (1, 1, "assistant", [("text", said + "\\", *[None] * 5)]),
+        (1, 2, "user", [("audio", None, "b.wav", None, None, 2.0, None), ("document", None, "c.pdf", None, None, None, 3)]),
+        (1, 3, "assistant", None), (None, None, None, [("text", None, *[None] * 5)]),
+    ]
+    frame = spark.createDataFrame(rows, f"conv_id long, turn long, role string, p array<struct<{part.replace(' ', ':')}>>".replace(",:", ","))
+    shaped = chat.format_chats(frame.withColumn("text", F.lit("x")), F.col("p"))
+    read = {r["conv_id"]: r for r in chat.read_back(shaped).collect()}
+    turns = [(t["role"], t["text"]) for t in read[1]["turns"]]
+    assert turns == [("user", said + "<image>"), ("assistant", said + "\\"), ("user", "<audio><document>"), ("assistant", "")]
+    assert read[1]["loss_text"] == said + "\\"
+    assert [(t["role"], t["text"]) for t in read[None]["turns"]] == [("", "")]
+    first = next(r for r in shaped.collect() if r["conv_id"] == 1)
+    assert [(a["number"], a["type"], a["ref"], a["tokens"]) for a in first["attachments"]] == [
+        (0, "image", "a.png", 4), (1, "audio", "b.wav", 50), (2, "document", "c.pdf", 768),
+    ]
+    masked = "".join(first["formatted"][m["start"] : m["start"] + m["length"]] for m in first["loss_mask"])
+    assert masked.replace("<\\", "<").replace("[\\", "[").endswith("\\")
+
+
+@pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
+def test_join_finds_all_links(spark, width, percent):
+    import random
+
+    some = random.Random(width)
+    base = [[f"w{some.randrange(400)}" for _ in range(some.choice([30, 60, 200]))] for _ in range(12)]
+    texts = [None, "", "a b", "A b", "a"]
+    for words in base:
+        for _ in range(12):
+            copy = list(words)
+            for _ in range(some.choice([0, 0, 1, 2, 4])):
+                copy[some.randrange(len(copy))] = f"v{some.randrange(1000)}"
+            texts.append(" ".join(copy))
+    rows = list(enumerate(texts, start=10))
+    docs = spark.createDataFrame([*rows, (None, texts[-1])], "doc_id long, text string").repartition(4)
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return frozenset(zip(*(w[i:] for i in range(width)))) if len(w) >= width else frozenset([tuple(w)] if w else [])
+
+    sets = {i: grams(t) for i, t in rows}
+    least = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                both = len(sets[a] & sets[b])
+                if both and 100 * both >= percent * len(sets[a] | sets[b]) and least[a] != least[b]:
+                    least[a] = least[b] = min(least[a], least[b])
+                    changed = True
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs, width, percent).collect()}
+    assert got.pop(None)[1] is None
+    assert got == {i: (len(sets[i]), least[i]) for i in sets}
+    kept = {r["doc_id"] for r in ngram_join.one_of_each(docs, width, percent).collect()}
+    assert kept == {i for i in least if least[i] == i} | {None}
+
+
+def test_blocks_find_what_stars_miss(spark, monkeypatch):
+    """Small blocks: chains of copies whose ends are too far from the first."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join([*words[k:], *(f"n{j}" for j in range(k))]) for k in range(0, 60, 2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["component_id"] for r in ngram_join.join(docs, 3, 90).collect()}
+    assert got == {0}
+
+
+def test_warc_round_trip(spark, tmp_path):
+    pages = [(3, "u3", "<p>é</p>"), (1, "u\r\n1", "<p>é</p>"), (2, None, None), (4, "u4", ""), (None, "x", "<p>é</p>"), (1, "v", "<p>é</p>")]
+    frame = spark.createDataFrame([(*p, 1, "z") for p in pages], "page_id long, url string, html string, digest int, type string")
+    folder = str(tmp_path / "archive")
+    warc.write_archive(frame, folder)
+    index = sorted(warc.read_index(spark, folder).collect(), key=lambda r: (r["page_id"] or 99, r["record_type"]))
+    assert [(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in index] == [
+        (1, 9, "response", None), (1, 9, "revisit", 1), (2, 0, "response", None), (3, 9, "revisit", 1),
+        (4, 0, "revisit", 2), (None, 9, "revisit", 1),
+    ]
+    import base64
+
+    assert index[0]["payload_digest"] == base64.b32encode(hashlib.sha1("<p>é</p>".encode()).digest()).decode()
+    records = [r for r in warc.read_records(spark, folder).collect() if r["type"] == "response"]
+    for r in records:
+        head, _, block = bytes(r["record"]).partition(b"\r\n\r\n")
+        assert int(re.search(rb"Content-Length: (\d+)", head)[1]) == len(block)
+    assert any(bytes(r["record"]).endswith("<p>é</p>".encode()) for r in records)
+    assert spark.read.parquet(f"{folder}/payloads").count() == 2
+    small = str(tmp_path / "small")
+    warc.write_archive(frame, small, min_bytes=10)
+    assert {r["record_type"] for r in warc.read_index(spark, small).collect()} == {"response"}
+    warc.write_archive(frame.limit(0), str(tmp_path / "none"))
+    assert warc.read_index(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_bpe_equals_the_library(odd):
+    library = Tokenizer.from_file(WORD)
+    want = Counter()
+    for i, t in TEXTS:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        want[i, len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), decoded))] += 1
+    assert Counter(tuple(r) for r in bpe.round_trip(odd, WORD).collect()) == want
+    decoded = bpe.decode(bpe.encode(odd, WORD), WORD).collect()
+    assert Counter(hashlib.sha256(r["decoded"].encode()).hexdigest() for r in decoded) == Counter(
+        {k[3]: 0 for k in want}
+    ) + sum((Counter({k[3]: n}) for k, n in want.items()), Counter())
+
+
+def test_counts_follow_edits(odd):
+    edits = F.from_json(
+        F.lit('[{"start":3,"delete":4,"insert":"\'re x"},{"start":-2,"delete":0},null,{"start":9999999,"delete":7,"insert":"  end"}]'),
+        f"array<{token_counts.EDIT}>",
+    )
+    library = Tokenizer.from_file(BYTE)
+    library.encode_special_tokens = True
+    want = Counter()
+    for i, t in TEXTS:
+        t = t or ""
+        after = t[:3] + "'re x" + t[7:] + "  end" if len(t) >= 3 else t + "'re x" + "  end"
+        want[i, *(len(library.encode(x, add_special_tokens=False).ids) for x in (t, after)), len(after)] += 1
+    rows = token_counts.count_edited(odd, edits, BYTE).collect()
+    assert Counter(tuple(r)[:4] for r in rows) == want
+    assert max(r["encoded_again"] for r in rows if r["doc_id"] == 12) < 100
+
+
+def test_quality_measures(odd):
+    rows = quality.assess(odd).collect()
+    assert len(rows) == len(TEXTS)
+    texts = {i: t or "" for i, t in TEXTS if i is not None}
+    for r in rows:
+        if r["doc_id"] is None:
+            continue
+        text = texts[r["doc_id"]]
+        found = re.findall(r"[^\x20\x09-\x0D]+", text)
+        windows = [tuple(found[k : k + 8]) for k in range(len(found) - 7)]
+        often = Counter(windows)
+        covered = {k + j for k, x in enumerate(windows) if often[x] > 1 for j in range(8)}
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert r["n_words"] == len(found) and r["word_chars"] == sum(map(len, found))
+        assert r["n_symbols"] == sum(c in "#*$%&|<>" for c in text)
+        assert r["n_dup_lines"] == len(lines) - len(set(lines))
+        assert r["n_repeat_words"] == len(covered)
+        assert r["base_failed"] == (len(found) < 20 or 100 * len(covered) > 30 * len(found))
+        assert not (r["base_failed"] and r["kept"])
+    kept = {(r["doc_id"], r["text"]) for r in quality.keep_good(odd).collect()}
+    assert kept == {(r["doc_id"], texts[r["doc_id"]]) for r in rows if r["kept"]}
+
+
+def test_votes_separate_good_from_bad():
+    import random
+
+    some = random.Random(1)
+    rules = len(quality.RULES)
+    patterns, truth = Counter(), {}
+    for _ in range(5000):
+        good = some.random() < 0.85
+        wrong = 0.01 if good else 0.5
+        pattern = tuple(0 if some.random() < 0.1 else (-1 if some.random() < wrong else 1) for _ in range(rules))
+        patterns[pattern] += 1
+        truth.setdefault(pattern, Counter())[good] += 1
+    model = quality.fit_votes(patterns)
+    assert 0.8 < model.good < 0.9
+    assert all(x > 0.97 for x in model.right_on_good)
+    assert quality.fit_votes({}).good > 0
+
+
+def test_toxicity_held_out(spark):
+    import random
+
+    some = random.Random(5)
+    syllables = "tion er the and re in he or an ly st ed wh sh ble".split()
+
+    def text(toxic):
+        words = ["".join(some.choices(syllables, k=some.randint(1, 3))) for _ in range(60)]
+        if toxic:
+            for _ in range(3):
+                words[some.randrange(60)] = some.choice(["moronic", "scumbag", "vermins", "trashy"]) + some.choice(["", "ly", "s"])
+        return " ".join(words)
+
+    rows = [(i, text(i % 4 == 0), int(i % 4 == 0)) for i in range(900)]
+    docs = spark.createDataFrame([(*r[:2], "x", 0.5) for r in rows] + [(None, None, "x", 0.5), (9001, "", "x", 0.5)], "doc_id long, text string, held_out string, score double")
+    known = labels(spark, [(r[0], r[2]) for r in rows])
+    scored = {r["doc_id"]: r for r in toxicity.score_documents(docs, known).collect()}
+    held = [(scored[i]["predicted"], y) for i, _, y in rows if scored[i]["held_out"]]
+    assert len(held) > 200
+    assert sum(p == 1 for p, y in held if y) >= 0.9 * sum(y for _, y in held)
+    assert sum(p == 1 for p, y in held if not y) <= 0.01 * len(held)
+    assert scored[None]["predicted"] == scored[9001]["predicted"] == 0
+    assert toxicity.drop_toxic(docs, known).columns == docs.columns
+    none = toxicity.score_documents(docs, labels(spark, ())).collect()
+    assert {r["score"] for r in none} == {0.0}
+
+
+def test_sql_of_chat_and_warc():
+    for name in ("op4_chat_formatting", "op6_warc"):
+        assert duckdb.extract_statements(SQL[name])
