@@ -87,8 +87,8 @@ def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
 
 
 def _surveyed(texts: DataFrame, width: int) -> DataFrame:
-    """Rows of documents (``doc_id, key, n``) and, apart from them, of n-grams that several
-    documents of a batch hold (``ngram, n``)."""
+    """Rows of documents (``doc_id, key, n, bitmap``) and, apart from them, of n-grams that
+    several documents of a batch hold (``ngram, n``)."""
     ship(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,11 +107,12 @@ def _surveyed(texts: DataFrame, width: int) -> DataFrame:
                     pa.array(keys + blank, pa.int64()),
                     pa.array([len(s) for s in sets] + counts.tolist(), pa.int64()),
                     pa.array(none + ngrams.tolist(), pa.int64()),
+                    pa.array([bitmap(s) for s in sets] + blank, pa.binary()),
                 ],
-                ["doc_id", "key", "n", "ngram"],
+                ["doc_id", "key", "n", "ngram", "bitmap"],
             )
 
-    return texts.mapInArrow(run, "doc_id long, key long, n long, ngram long")
+    return texts.mapInArrow(run, "doc_id long, key long, n long, ngram long, bitmap binary")
 
 
 def _hot(surveyed: DataFrame) -> np.ndarray:
@@ -216,8 +217,13 @@ def _words(maps) -> np.ndarray:
     return joined.reshape(-1, BITS // 64)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` that are similar enough: bitmaps first, then exact overlap."""
+def _linked(
+    pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int
+) -> DataFrame:
+    """The pairs ``a, b`` that are similar enough: bitmaps first, then exact overlap.
+
+    Only nodes of pairs that the bitmaps allow have their n-grams made again from the text.
+    """
     ship(pairs.sparkSession)
 
     @F.pandas_udf("boolean")
@@ -232,18 +238,20 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=bool)
 
-    def with_sets(rows: DataFrame, column: str) -> DataFrame:
+    def with_ends(rows: DataFrame, table: DataFrame, column: str) -> DataFrame:
         for end in ("a", "b"):
-            side = sets.select(F.col("key").alias(end), F.col(column).alias(f"{end}_{column}"))
+            side = table.select(F.col("key").alias(end), F.col(column).alias(f"{end}_{column}"))
             rows = rows.join(side, end)
         return rows
 
-    mapped = with_sets(pairs, "bitmap").filter(possible("a_bitmap", "b_bitmap", "n", "m"))
-    exact = with_sets(mapped.select("a", "b").distinct(), "ngrams")
+    mapped = with_ends(pairs, nodes, "bitmap").filter(possible("a_bitmap", "b_bitmap", "n", "m"))
+    mapped = write_once(mapped.select("a", "b").distinct())
+    ends = mapped.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    exact = with_ends(mapped, _sets(texts, nodes, ends, width), "ngrams")
     return exact.filter(similar("a_ngrams", "b_ngrams")).select("a", "b").distinct()
 
 
-def _across(tiles: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across(tiles: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b, n, m`` of nodes of different classes in one tile that sizes, places and
     bitmaps allow. A tile is cut into blocks, and pairs of blocks are compared."""
     spark = tiles.sparkSession
@@ -269,7 +277,7 @@ def _across(tiles: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
     )
     rows = (
         placed.join(mixed, "ngram")
-        .join(sets.select("key", "bitmap").distinct(), "key")
+        .join(nodes.select("key", "bitmap"), "key")
         .select("ngram", "key", "n", "pos", "component", "bitmap", own.alias("own"), F.explode(others).alias("t"))
         .select("ngram", "t.i", "t.j", "own", "key", "n", "pos", "component", "bitmap")
         .repartition(parallelism(spark), "ngram", "i", "j")
@@ -323,7 +331,7 @@ def _across(tiles: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
 
 
 def _sets(texts: DataFrame, nodes: DataFrame, keys: DataFrame, width: int) -> DataFrame:
-    """``key, bitmap, ngrams`` of the nodes in ``keys``, from the text of one document each."""
+    """``key, ngrams`` of the nodes in ``keys``, from the text of one document each."""
     wanted = write_once(nodes.join(keys, "key", "left_semi").select("key", "doc_id"))
     if wanted.count() <= BROADCAST_ROWS:  # two numbers a row
         wanted = F.broadcast(wanted)
@@ -337,14 +345,13 @@ def _sets(texts: DataFrame, nodes: DataFrame, keys: DataFrame, width: int) -> Da
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(list(out), pa.int64()),
-                pa.array([bitmap(s) for s in out.values()], pa.binary()),
                 pa.array(list(out.values()), pa.list_(pa.int64())),
             ],
-            ["key", "bitmap", "ngrams"],
+            ["key", "ngrams"],
         )
 
     chosen = texts.join(wanted, "doc_id").select("key", "text")
-    return write_once(_batches(chosen, step, "key long, bitmap binary, ngrams array<bigint>"))
+    return write_once(_batches(chosen, step, "key long, ngrams array<bigint>"))
 
 
 def join(
@@ -365,18 +372,20 @@ def join(
     surveyed = write_once(_surveyed(texts, width))
     rows = surveyed.filter("ngram is null")
     # a set is one node, whichever documents hold it
-    nodes = rows.filter("doc_id is not null and key is not null").groupBy("key").agg(
-        F.min("doc_id").alias("doc_id")
+    nodes = write_once(
+        rows.filter("doc_id is not null and key is not null")
+        .groupBy("key")
+        .agg(F.min("doc_id").alias("doc_id"), F.min("bitmap").alias("bitmap"))
     )
     tiles = write_once(
         _tiles(_postings(texts.filter("doc_id is not null"), width, percent, _hot(surveyed)), percent)
     )
-    sets = _sets(texts, nodes, tiles.select("key").distinct(), width)
     first = tiles.filter("other is not null").select(
         F.col("other").alias("a"), F.col("key").alias("b"), F.col("other_n").alias("n"), F.col("n").alias("m")
     )
-    links = write_once(_linked(first.distinct(), sets, percent))
-    more = write_once(_linked(_across(tiles, components(links), sets, percent), sets, percent))
+    links = write_once(_linked(first.distinct(), nodes, texts, width, percent))
+    across = _across(tiles, components(links), nodes, percent)
+    more = write_once(_linked(across, nodes, texts, width, percent))
     classes = components(links.unionAll(more)).withColumnRenamed("node", "key")
     least = nodes.join(classes, "key").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_key = classes.join(least, "component").select("key", "component_id")
