@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from textprep.llm.common import parallelism, ship, write_once
 from textprep.llm.components import components
 
-BITS = 2048  # of a bitmap
+BITS_EACH = 4  # bits of a bitmap for each n-gram, at least; rounded up to a power of two
 BLOCK = 1024  # rows of a block in the comparison across classes
 HOT = 100_000  # frequent n-grams that are put last; the order changes cost, not results
 HOT_IN_BATCH = 8
@@ -56,9 +56,19 @@ def set_key(ngrams: np.ndarray) -> int:
 
 
 def bitmap(ngrams: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(ngrams.view(np.uint64) >> np.uint64(40)) % np.uint64(BITS)] = 1
-    return np.packbits(bits).tobytes()
+    """Bits of hashed n-grams, as many as suit the size of the set; see :func:`folded`."""
+    bits = max(512, 1 << (BITS_EACH * len(ngrams)).bit_length())
+    out = np.zeros(bits, np.uint8)
+    out[(ngrams.view(np.uint64) >> np.uint64(16)) & np.uint64(bits - 1)] = 1
+    return np.packbits(out).tobytes()
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap that the same set has at a smaller size, in 64-bit words."""
+    while len(bits) > words:
+        half = len(bits) // 2
+        bits = bits[:half] | bits[half:]
+    return bits
 
 
 def first_ones(ngrams: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
@@ -204,17 +214,16 @@ def _tiles(postings: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _within(left: np.ndarray, right: np.ndarray, size: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the bitmaps allow enough overlap. ``left`` and ``right``: rows of words."""
-    only_left = np.bitwise_count(left & ~right).sum(axis=1, dtype=np.int64)
-    only_right = np.bitwise_count(right & ~left).sum(axis=1, dtype=np.int64)
+def _within(left: np.ndarray, right: np.ndarray, size: int, other: np.ndarray, percent: int) -> np.ndarray:
+    """Whether bitmaps of one size allow enough overlap of ``left`` with rows of ``right``."""
+    only_left = np.bitwise_count(left & ~right).sum(axis=-1, dtype=np.int64)
+    only_right = np.bitwise_count(right & ~left).sum(axis=-1, dtype=np.int64)
     most = np.minimum(size - only_left, other - only_right)
     return 100 * most >= percent * (size + other - most)
 
 
-def _words(maps) -> np.ndarray:
-    joined = np.frombuffer(b"".join(maps), np.uint64)
-    return joined.reshape(-1, BITS // 64)
+def _words(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
 
 
 def _linked(
@@ -228,7 +237,11 @@ def _linked(
 
     @F.pandas_udf("boolean")
     def possible(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-        return pd.Series(_within(_words(a), _words(b), n.to_numpy(), m.to_numpy(), percent))
+        def one(x: bytes, y: bytes, size: int, other: int) -> bool:
+            words = min(len(x), len(y)) // 8
+            return _within(folded(_words(x), words), folded(_words(y), words), size, other, percent)
+
+        return pd.Series([bool(one(*row)) for row in zip(a, b, n, m)], dtype=bool)
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -253,7 +266,8 @@ def _linked(
 
 def _across(tiles: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b, n, m`` of nodes of different classes in one tile that sizes, places and
-    bitmaps allow. A tile is cut into blocks, and pairs of blocks are compared."""
+    bitmaps allow. A tile is cut into blocks, and pairs of blocks are compared. A tile of two
+    has been compared already."""
     spark = tiles.sparkSession
     known = classes.select(F.col("node").alias("key"), "component")
     placed = write_once(
@@ -265,9 +279,10 @@ def _across(tiles: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int
         placed.groupBy("ngram")
         .agg(
             F.min("component").alias("low"), F.max("component").alias("high"),
+            F.count(F.lit(1)).alias("rows"),
             F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"),
         )
-        .filter("low < high")
+        .filter("low < high and rows > 2")
         .select("ngram", "blocks")
     )
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
@@ -286,7 +301,7 @@ def _across(tiles: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int
     ship(spark)
     names = ["ngram", "i", "j", "own", "key", "n", "pos", "component"]
 
-    def compared(tile: np.ndarray, maps: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    def compared(tile: np.ndarray, maps: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
         i, j, own, key, n, pos, component = tile.T[1:]
         for at in range(len(tile) - 1):
             upto = np.searchsorted(n, 100 * n[at] // percent, side="right")
@@ -298,19 +313,20 @@ def _across(tiles: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int
             allowed &= 100 * most >= percent * (n[at] + n[rest] - most)
             to = np.flatnonzero(allowed) + at + 1
             if len(to):
-                here = np.broadcast_to(maps[at], (len(to), maps.shape[1]))
-                to = to[_within(here, maps[to], np.full(len(to), n[at]), n[to], percent)]
+                # the smallest set of the pairs has the smallest bitmap
+                there = np.stack([folded(maps[k], len(maps[at])) for k in to])
+                to = to[_within(maps[at], there, n[at], n[to], percent)]
                 yield np.full(len(to), key[at]), key[to], np.full(len(to), n[at]), n[to]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_maps = np.empty((0, 8), np.int64), np.empty((0, BITS // 64), np.uint64)
+        held: np.ndarray = np.empty((0, 8), np.int64)
+        held_maps: list[np.ndarray] = []
 
-        def told(rows: np.ndarray, maps: np.ndarray) -> pa.RecordBatch:
+        def told(rows: np.ndarray, maps: list[np.ndarray]) -> pa.RecordBatch:
             cuts = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
+            ends = [0, *cuts.tolist(), len(rows)]
             found = [
-                x
-                for tile, some in zip(np.split(rows, cuts), np.split(maps, cuts))
-                for x in compared(tile, some)
+                x for i, j in zip(ends, ends[1:]) for x in compared(rows[i:j], maps[i:j])
             ]
             pairs = [np.concatenate([np.empty(0, np.int64), *c]) for c in zip(*found)] if found else [[]] * 4
             table = pd.DataFrame(dict(zip("abnm", pairs)), dtype="int64").drop_duplicates()
@@ -318,7 +334,7 @@ def _across(tiles: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int
 
         for batch in batches:
             rows = np.concatenate([held, np.stack(_columns(batch, *names), axis=1).astype(np.int64)])
-            maps = np.concatenate([held_maps, _words(batch.column("bitmap").to_pylist())])
+            maps = held_maps + [_words(x) for x in batch.column("bitmap").to_pylist()]
             last = (rows[:, :3] == rows[-1, :3]).all(axis=1)
             begin = len(rows) - int(last.sum())  # the last tile may go on
             if begin:
