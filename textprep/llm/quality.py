@@ -76,9 +76,10 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     staged = docs.withColumn("_words", words(text)).withColumn("_lines", lines)
     staged = staged.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
     staged = staged.withColumn("_windows", _windows(F.col("_hashes")))
-    staged = staged.withColumn(
-        "_m",
-        F.struct(
+    # a generator of one value: what follows refers to the measures and does not repeat them
+    return staged.select(
+        *docs.columns,
+        F.explode(F.array(F.struct(
             F.size("_words").cast("long").alias("n_words"),
             F.length(F.translate(text, SPACE, "")).cast("long").alias("word_chars"),
             (F.length(text) - F.length(F.translate(text, SYMBOLS, "")))
@@ -90,9 +91,8 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
             F.regexp_count(text, F.lit(r"\p{L}")).cast("long").alias("n_letters"),
             F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
             F.regexp_count(text, F.lit(r"[.!?。।]")).cast("long").alias("n_stops"),
-        ),
+        ))).alias("_m"),
     )
-    return staged.drop("_words", "_lines", "_hashes", "_windows")
 
 
 def _share(part: str, whole: str) -> Column:
@@ -213,5 +213,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows that are kept, with the columns they came with."""
-    rows = measured(docs, text_col)
-    return rows.filter(kept(fit(rows))).select(*docs.columns)
+    # whole rows as one column, so that no name of theirs can clash
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = measured(docs.select(row, F.col(text_col).alias("text")))
+    return rows.filter(kept(fit(rows))).select("row.*")
