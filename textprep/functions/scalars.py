@@ -59,12 +59,16 @@ def seeded_key(row_id: Column | str, seed: int) -> Column:
 
 
 def seeded_normal(term: Column | str, dim: Column | int, scale: float, seed: int) -> Column:
-    """``dim`` normal values that depend on the term and the seed only."""
+    """``dim`` normal values that depend on the term and the seed only.
+
+    Uniform values come from 52 bits of ``md5(seed|term|place|part)``.
+    """
     size = dim if isinstance(dim, Column) else F.lit(dim)
 
     def unit(i: Column, part: int) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(_col(term), i, F.lit(part), F.lit(seed)), 11)
-        return (bits.cast("double") + 0.5) / float(1 << 53)
+        text = F.concat_ws("|", F.lit(str(seed)), _col(term), i.cast("string"), F.lit(str(part)))
+        bits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+        return (bits.cast("double") + 0.5) / float(1 << 52)
 
     def value(i: Column) -> Column:
         radius = F.sqrt(-2.0 * F.log(unit(i, 0)))

@@ -10,6 +10,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+MAX_CLASSES = 5_000
+
 
 def _ratio(a: Column, b: Column) -> Column:
     """0/0 counts as 0."""
@@ -21,39 +23,43 @@ def confusion_cells(
 ) -> DataFrame:
     """``(label, prediction, n)`` for every pair of known classes, zeros included.
 
-    ``n`` names a column that already counts equal rows.
+    ``n`` names a column that already counts equal rows. More than ``MAX_CLASSES`` classes
+    end the job: the cells are their square.
     """
     count = F.count("*") if n is None else F.sum(n)
     kind = df.schema[label].dataType
     cells = df.groupBy(
         F.col(label).alias("label"), F.col(prediction).cast(kind).alias("prediction")
     ).agg(count.alias("n"))
-    # at most one entry per pair of classes, so one row can hold them all
-    table = cells.agg(F.collect_list(F.struct("label", "prediction", "n")).alias("cells"))
-    known = F.array_compact(
-        F.array_union(F.col("cells")["label"], F.col("cells")["prediction"])
+    both = F.array_compact(
+        F.array_distinct(F.concat(F.collect_set("label"), F.collect_set("prediction")))
     )
-    found = F.filter(
-        "cells",
-        lambda e: (e["label"] == F.col("label")) & (e["prediction"] == F.col("prediction")),
+    # the known classes, one row of bounded size
+    known = cells.agg(both.alias("known")).select(
+        F.when(F.size("known") <= MAX_CLASSES, F.col("known"))
+        .otherwise(F.raise_error(F.lit(f"more than {MAX_CLASSES} classes")))
+        .alias("known")
+    )
+    grid = known.withColumn("label", F.explode("known")).select(
+        "label", F.explode("known").alias("prediction")
+    )
+    return grid.join(cells, ["label", "prediction"], "left").select(
+        "label", "prediction", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
     )
-    return (
-        table.withColumn("known", known)
-        .withColumn("label", F.explode("known"))
-        .withColumn("prediction", F.explode("known"))
-        .select(
-            "label", "prediction",
-            F.coalesce(F.get(found, 0)["n"], F.lit(0)).cast("bigint").alias("n"),
-        )
-    )
 
 
 def confusion_matrix(
     df: DataFrame, classes: list, label: str = "label", prediction: str = "prediction"
 ) -> DataFrame:
-    """One row per true class, one column per predicted class."""
+    """One row per true class, one column per predicted class.
+
+    A prediction outside ``classes`` ends the job instead of getting lost.
+    """
+    cells = confusion_cells(df, label, prediction)
+    outside = F.concat(F.lit("no column for the predicted class "), F.col("prediction").cast("string"))
+    lost = ~F.col("prediction").isin(classes) & (F.col("n") > 0)
     return (
-        confusion_cells(df, label, prediction)
+        cells.withColumn("n", F.when(lost, F.raise_error(outside)).otherwise(F.col("n")))
         .groupBy("label")
         .pivot("prediction", classes)
         .agg(F.sum("n"))

@@ -59,10 +59,12 @@ def lookup_vectors(
     """Every vocabulary row with its vector, or null.
 
     A vocabulary of no more than ``size`` rows first picks its vectors out of the table
-    without shuffling that table; the left join then has two small sides.
+    without shuffling that table; the left join then has two small sides. A word that the
+    table holds several times gets one vector, so rows and ids stay aligned.
     """
     vectors = vectors.select("term", "vector")
     if size is not None:
         vocab = pin_small(vocab, size)
         vectors = vectors.join(vocab.select("term"), "term", "left_semi")
-    return vocab.join(vectors, "term", "left")
+    single = vectors.groupBy("term").agg(F.max("vector").alias("vector"))
+    return vocab.join(single, "term", "left")

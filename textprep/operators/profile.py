@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
+MAX_LABEL = 1_000_000
+
+
 def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"))
 
@@ -28,10 +31,16 @@ def class_shares(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def dense_counts(df: DataFrame, label: str = "label") -> DataFrame:
-    """Count per integer label from 0 to the largest, zeros included."""
+    """Count per integer label from 0 to the largest, zeros included.
+
+    A label over ``MAX_LABEL`` ends the job: the result has a row for each number below it.
+    """
     counts = _counts(df, label)
-    slots = counts.agg(F.max(label).alias("top")).select(
-        F.explode(F.sequence(F.lit(0), F.col("top").cast("int"))).alias(label)
+    top = F.when(F.col("top") <= MAX_LABEL, F.col("top")).otherwise(
+        F.raise_error(F.lit(f"a label is over {MAX_LABEL}"))
+    )
+    slots = counts.agg(F.max(label).alias("top")).filter("top is not null").select(
+        F.explode(F.sequence(F.lit(0), top.cast("int"))).alias(label)
     )
     return slots.join(counts, label, "left").select(
         label, F.coalesce("n", F.lit(0)).cast("bigint").alias("n")

@@ -5,23 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """``(term, vector array<float>)``; the header line is recognised by its two numbers."""
+def read_vectors(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """``(term, vector array<float>)``.
+
+    With ``header`` a line of two integers in the first block of a file is taken for the
+    header; ``header=False`` keeps all lines, for tables of one dimension with numbers as
+    words.
+    """
     line = F.rtrim(F.col("value"))
     parts = F.split(line, " ")
-    return (
-        spark.read.text(path)
-        .filter(~line.rlike(r"^\d+ \d+$") & (line != ""))
-        .select(
-            F.element_at(parts, 1).alias("term"),
-            F.slice(parts, F.lit(2), F.size(parts) - 1).cast("array<float>").alias("vector"),
-        )
+    rows = spark.read.text(path).filter(line != "")
+    if header:
+        first = F.col("_metadata.file_block_start") == 0
+        rows = rows.filter(~(first & line.rlike(r"^\d+ \d+$")))
+    return rows.select(
+        F.element_at(parts, 1).alias("term"),
+        F.slice(parts, F.lit(2), F.size(parts) - 1).cast("array<float>").alias("vector"),
     )
 
 
+def one_vector(vectors: DataFrame) -> DataFrame:
+    """One vector a word: of several the largest, component by component from the first."""
+    return vectors.groupBy("term").agg(F.max("vector").alias("vector"))
+
+
 def limit_vectors(vectors: DataFrame, terms: DataFrame) -> DataFrame:
-    """The vectors whose word occurs in ``terms``."""
-    return vectors.join(terms.select("term").distinct(), "term", "left_semi")
+    """The vectors whose word occurs in ``terms``, one a word."""
+    return one_vector(vectors.join(terms.select("term").distinct(), "term", "left_semi"))
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:
