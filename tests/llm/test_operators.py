@@ -248,9 +248,11 @@ def test_join_finds_all_links(spark, width, percent):
     assert kept == {i for i in least if least[i] == i} | {None}
 
 
-def test_blocks_find_what_stars_miss(spark, monkeypatch):
+@pytest.mark.parametrize("small", [2, 1000])
+def test_blocks_find_what_stars_miss(spark, monkeypatch, small):
     """Small blocks: chains of copies whose ends are too far from the first."""
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "SMALL", small)
     words = [f"w{i}" for i in range(100)]
     texts = [" ".join([*words[k:], *(f"n{j}" for j in range(k))]) for k in range(0, 60, 2)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)

@@ -26,6 +26,7 @@ from textprep.llm.components import components
 
 BITS_EACH = 4  # bits of a bitmap for each n-gram, at least; rounded up to a power of two
 BLOCK = 1024  # rows of a block in the comparison across classes
+SMALL = 16  # a tile of so many rows names its pairs without bitmaps
 HOT = 100_000  # frequent n-grams that are put last; the order changes cost, not results
 HOT_IN_BATCH = 8
 BROADCAST_ROWS = 2_000_000
@@ -267,7 +268,8 @@ def _linked(
 def _across(tiles: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b, n, m`` of nodes of different classes in one tile that sizes, places and
     bitmaps allow. A tile is cut into blocks, and pairs of blocks are compared. A tile of two
-    has been compared already."""
+    has been compared already. Small tiles leave the bitmaps to those who test the pairs,
+    which are far fewer than the rows of tiles: a pair shares many n-grams."""
     spark = tiles.sparkSession
     known = classes.select(F.col("node").alias("key"), "component")
     placed = write_once(
@@ -283,16 +285,18 @@ def _across(tiles: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int
             F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"),
         )
         .filter("low < high and rows > 2")
-        .select("ngram", "blocks")
+        .select("ngram", "blocks", (F.col("rows") > SMALL).alias("large"))
     )
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     others = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j")),
     )
+    several = placed.join(mixed, "ngram")
+    large = several.filter("large").join(nodes.select("key", "bitmap"), "key")
+    small = several.filter("not large").withColumn("bitmap", F.lit(None).cast("binary"))
     rows = (
-        placed.join(mixed, "ngram")
-        .join(nodes.select("key", "bitmap"), "key")
+        large.unionByName(small)
         .select("ngram", "key", "n", "pos", "component", "bitmap", own.alias("own"), F.explode(others).alias("t"))
         .select("ngram", "t.i", "t.j", "own", "key", "n", "pos", "component", "bitmap")
         .repartition(parallelism(spark), "ngram", "i", "j")
@@ -301,7 +305,7 @@ def _across(tiles: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int
     ship(spark)
     names = ["ngram", "i", "j", "own", "key", "n", "pos", "component"]
 
-    def compared(tile: np.ndarray, maps: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    def compared(tile: np.ndarray, maps: list[np.ndarray | None]) -> Iterator[tuple[np.ndarray, ...]]:
         i, j, own, key, n, pos, component = tile.T[1:]
         for at in range(len(tile) - 1):
             upto = np.searchsorted(n, 100 * n[at] // percent, side="right")
@@ -312,17 +316,18 @@ def _across(tiles: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int
             most = np.minimum(n[at] - pos[at], n[rest] - pos[rest])
             allowed &= 100 * most >= percent * (n[at] + n[rest] - most)
             to = np.flatnonzero(allowed) + at + 1
-            if len(to):
+            if len(to) and maps[at] is not None:
                 # the smallest set of the pairs has the smallest bitmap
                 there = np.stack([folded(maps[k], len(maps[at])) for k in to])
                 to = to[_within(maps[at], there, n[at], n[to], percent)]
+            if len(to):
                 yield np.full(len(to), key[at]), key[to], np.full(len(to), n[at]), n[to]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: np.ndarray = np.empty((0, 8), np.int64)
-        held_maps: list[np.ndarray] = []
+        held_maps: list[np.ndarray | None] = []
 
-        def told(rows: np.ndarray, maps: list[np.ndarray]) -> pa.RecordBatch:
+        def told(rows: np.ndarray, maps: list[np.ndarray | None]) -> pa.RecordBatch:
             cuts = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
             ends = [0, *cuts.tolist(), len(rows)]
             found = [
@@ -334,7 +339,7 @@ def _across(tiles: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int
 
         for batch in batches:
             rows = np.concatenate([held, np.stack(_columns(batch, *names), axis=1).astype(np.int64)])
-            maps = held_maps + [_words(x) for x in batch.column("bitmap").to_pylist()]
+            maps = held_maps + [x and _words(x) for x in batch.column("bitmap").to_pylist()]
             last = (rows[:, :3] == rows[-1, :3]).all(axis=1)
             begin = len(rows) - int(last.sum())  # the last tile may go on
             if begin:
@@ -401,6 +406,11 @@ def join(
     )
     links = write_once(_linked(first.distinct(), nodes, texts, width, percent))
     across = _across(tiles, components(links), nodes, percent)
+    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    across = across.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).join(
+        tested.withColumnsRenamed({"a": "low", "b": "high"}), ["low", "high"], "left_anti"
+    )
+    across = across.select("a", "b", "n", "m")
     more = write_once(_linked(across, nodes, texts, width, percent))
     classes = components(links.unionAll(more)).withColumnRenamed("node", "key")
     least = nodes.join(classes, "key").groupBy("component").agg(F.min("doc_id").alias("component_id"))
