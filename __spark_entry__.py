@@ -1040,7 +1040,7 @@ def batch_score(spark: SparkSession, sf: str) -> DataFrame:
 
 LIBRARY = frozenset(QUERIES)
 LLM_SQL: dict[str, str] = {}
-if importlib.util.find_spec("textprep.llm") is not None:
+if importlib.util.find_spec("textprep.llm") and importlib.util.find_spec("textprep.llm.queries"):
     _llm = importlib.import_module("textprep.llm.queries")
     QUERIES.update(_llm.QUERIES)
     LLM_SQL.update(_llm.SQL)
