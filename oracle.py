@@ -493,8 +493,6 @@ FROM vocab w LEFT JOIN vec ON w.term = vec.term)""",
     latin = parts(script_strict("text", "keep", LATIN), "told", 10, firsts)
     for name in ("rf_fit", "svm_fit", "svm_probability", "grid_search"):
         q[name] = f"{latin}SELECT {n_train} AS n_train, {n_test}, TRUE AS floor_met FROM sp"
-    q["forest_search"] = f"""{latin}SELECT least(2000, {n_train}) AS n_train, {n_test},
-  TRUE AS floor_met FROM sp"""
     q["model_saved"] = f"{latin}SELECT {n_test}, 0 AS n_differ FROM sp"
     raw_first = f"({first_of('told', 'text', 'id', 'id, text, label')})"
     letters = parts(script_letters("text", "keep"), raw_first, 0, "SELECT * FROM kept")

@@ -7,7 +7,7 @@ from check import compare, connect, entry
 SF = "/root/testdata/sf0.001"
 NO_SQL = {"vector_classifier"}
 # minutes each; ``tests/check.py`` runs them
-SLOW = {"rf_fit", "svm_probability", "grid_search", "forest_search", "model_saved"}
+SLOW = {"rf_fit", "svm_probability", "grid_search", "model_saved"}
 
 
 @pytest.fixture(scope="module")
