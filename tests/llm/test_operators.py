@@ -248,6 +248,24 @@ def test_join_finds_all_links(spark, width, percent):
     assert kept == {i for i in least if least[i] == i} | {None}
 
 
+def test_one_row_of_each_class_under_repeated_ids(spark):
+    """An id's copy says nothing of the id's other texts; one row of a class stays."""
+    def said(x, tail=""):
+        return " ".join(f"{x}{k}" for k in range(40)) + tail
+
+    rows = [
+        (3, said("a"), "p"), (7, said("a"), "p"), (7, said("b"), "p"),  # 7 copies 3, and has b alone
+        (4, said("c"), "p"), (4, said("c"), "q"), (4, said("c").upper(), "p"), (9, said("c", " end"), "p"),
+        (5, said("d"), "p"), (5, said("d"), "p"), (5, said("d", " end"), "p"), (2, said("e"), "p"), (2, said("f"), "p"),
+        (8, "", "p"), (8, None, "p"), (None, said("e"), "p"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    left = Counter((r["doc_id"], (r["text"] or "").split(" ")[0].lower()) for r in kept.collect())
+    assert left == Counter([(3, "a0"), (7, "b0"), (4, "c0"), (5, "d0"), (2, "e0"), (2, "f0"), (8, ""), (8, ""), (None, "e0")])
+
+
 @pytest.mark.parametrize("small", [2, 1000])
 def test_blocks_find_what_stars_miss(spark, monkeypatch, small):
     """Small blocks: chains of copies whose ends are too far from the first."""

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from textprep.llm.common import parallelism, ship, write_once
 from textprep.llm.components import components
@@ -98,8 +98,8 @@ def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
 
 
 def _surveyed(texts: DataFrame, width: int) -> DataFrame:
-    """Rows of documents (``doc_id, key, n, bitmap``) and, apart from them, of n-grams that
-    several documents of a batch hold (``ngram, n``)."""
+    """Rows of documents (``doc_id, digest, key, n, bitmap``) and, apart from them, of n-grams
+    that several documents of a batch hold (``ngram, n``)."""
     ship(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,15 +115,16 @@ def _surveyed(texts: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(batch.column("doc_id").to_pylist() + blank, pa.int64()),
+                    pa.array(batch.column("digest").to_pylist() + blank, pa.int64()),
                     pa.array(keys + blank, pa.int64()),
                     pa.array([len(s) for s in sets] + counts.tolist(), pa.int64()),
                     pa.array(none + ngrams.tolist(), pa.int64()),
                     pa.array([bitmap(s) for s in sets] + blank, pa.binary()),
                 ],
-                ["doc_id", "key", "n", "ngram", "bitmap"],
+                ["doc_id", "digest", "key", "n", "ngram", "bitmap"],
             )
 
-    return texts.mapInArrow(run, "doc_id long, key long, n long, ngram long, bitmap binary")
+    return texts.mapInArrow(run, "doc_id long, digest long, key long, n long, ngram long, bitmap binary")
 
 
 def _hot(surveyed: DataFrame) -> np.ndarray:
@@ -353,15 +354,17 @@ def _across(tiles: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int
 
 def _sets(texts: DataFrame, nodes: DataFrame, keys: DataFrame, width: int) -> DataFrame:
     """``key, ngrams`` of the nodes in ``keys``, from the text of one document each."""
-    wanted = write_once(nodes.join(keys, "key", "left_semi").select("key", "doc_id"))
-    if wanted.count() <= BROADCAST_ROWS:  # two numbers a row
+    wanted = write_once(
+        nodes.join(keys, "key", "left_semi").select("key", F.col("doc_id").alias("id"), F.col("digest").alias("of"))
+    )
+    if wanted.count() <= BROADCAST_ROWS:  # three numbers a row
         wanted = F.broadcast(wanted)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: dict[int, np.ndarray] = {}
         for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
             ngrams = ngram_set(text, width)
-            if set_key(ngrams) == key:  # a repeated id may stand for other texts
+            if set_key(ngrams) == key:
                 out[key] = ngrams
         return pa.RecordBatch.from_arrays(
             [
@@ -371,33 +374,39 @@ def _sets(texts: DataFrame, nodes: DataFrame, keys: DataFrame, width: int) -> Da
             ["key", "ngrams"],
         )
 
-    chosen = texts.join(wanted, "doc_id").select("key", "text")
+    # a repeated id may stand for other texts
+    same = (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("of"))
+    chosen = texts.join(wanted, same).select("key", "text")
     return write_once(_batches(chosen, step, "key long, ngrams array<bigint>"))
 
 
-def join(
-    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row.
-
-    Two documents link if their n-gram sets overlap by ``percent`` of their union or more;
-    ``component_id`` is the smallest id that links reach. Texts that are null or have no word
-    have no n-grams and link with nothing. Rows without id link with nothing and have no
-    component. Rows of equal id are documents of their own that share a name. Other columns
-    are not read; no rows give no rows.
-    """
-    texts = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), _digest(text_col).alias("digest"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-    )
+    )
+
+
+def _digest(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def _classes(texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``doc_id, digest, key, n`` of every row; ``key, doc_id, digest, rows`` of every node, with
+    the smallest id of its rows and the smallest digest of that id; ``key, component`` of the
+    nodes that link."""
     surveyed = write_once(_surveyed(texts, width))
     rows = surveyed.filter("ngram is null")
     # a set is one node, whichever documents hold it
     nodes = write_once(
         rows.filter("doc_id is not null and key is not null")
         .groupBy("key")
-        .agg(F.min("doc_id").alias("doc_id"), F.min("bitmap").alias("bitmap"))
-    )
+        .agg(
+            F.min(F.struct("doc_id", "digest")).alias("of"), F.min("bitmap").alias("bitmap"),
+            F.count(F.lit(1)).alias("rows"),
+        )
+        .select("key", "of.doc_id", "of.digest", "bitmap", "rows")
+    )
     tiles = write_once(
         _tiles(_postings(texts.filter("doc_id is not null"), width, percent, _hot(surveyed)), percent)
     )
@@ -412,7 +421,27 @@ def join(
     )
     across = across.select("a", "b", "n", "m")
     more = write_once(_linked(across, nodes, texts, width, percent))
-    classes = components(links.unionAll(more)).withColumnRenamed("node", "key")
+    return rows, nodes, components(links.unionAll(more)).withColumnRenamed("node", "key")
+
+
+def _broadcast_if_small(df: DataFrame) -> DataFrame:
+    """For joins with rows of a few numbers."""
+    df = write_once(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS // 2 else df
+
+
+def join(
+    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row.
+
+    Two documents link if their n-gram sets overlap by ``percent`` of their union or more;
+    ``component_id`` is the smallest id that links reach. Texts that are null or have no word
+    have no n-grams and link with nothing. Rows without id link with nothing and have no
+    component. Rows of equal id are documents of their own that share a name. Other columns
+    are not read; no rows give no rows.
+    """
+    rows, nodes, classes = _classes(_texts(docs, id_col, text_col), width, percent)
     least = nodes.join(classes, "key").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_key = classes.join(least, "component").select("key", "component_id")
     single = nodes.select("key", F.col("doc_id").alias("least_id"))
@@ -426,14 +455,43 @@ def join(
 def one_of_each(
     docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows whose id is the smallest of their class, with the columns they came with.
+    """One row of every class, with the columns it came with: one of the smallest id.
 
-    Rows without id or without words stay; rows of equal id stay or go together.
+    Of several texts of that id in the class the one of the smallest digest stays, of several
+    rows of that text the one of the smallest hash. What an id's other texts do has no say.
+    Rows without id or without words stay.
     """
-    classes = join(docs, width, percent, id_col, text_col)
-    gone = write_once(
-        classes.filter("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
+    rows, nodes, classes = _classes(_texts(docs, id_col, text_col), width, percent)
+    placed = nodes.join(classes, "key", "left").select(
+        "key", F.coalesce("component", "key").alias("component"), "doc_id", "digest", "rows"
+    )
+    several = _broadcast_if_small(
+        placed.groupBy("component")
+        .agg(F.min(F.struct("doc_id", "digest")).alias("stays"), F.sum("rows").alias("rows"))
+        .filter("rows > 1")
+        .select("component", "stays")
+    )
+    of_key = _broadcast_if_small(placed.join(several, "component").select("key", "stays"))
+    # rows of equal id and digest share a text and so a key
+    told = write_once(
+        rows.filter("doc_id is not null")
+        .join(of_key, "key")
+        .groupBy(F.col("doc_id").alias("_join_id"), F.col("digest").alias("_join_digest"))
+        .agg(
+            F.bool_and(F.struct("doc_id", "digest") == F.col("stays")).alias("stays"),
+            F.count(F.lit(1)).alias("rows"),
+        )
+        .filter("not stays or rows > 1")
+    )
+    pair = ["_join_id", "_join_digest"]
+    named = docs.withColumns({"_join_id": F.col(id_col).cast("long"), "_join_digest": _digest(text_col)})
+    kept = named.join(_broadcast_if_small(told.select(*pair)), pair, "left_anti").select(*docs.columns)
+    repeated = told.filter("stays").select(*pair)
+    if repeated.isEmpty():
+        return kept
+    again = (
+        named.join(_broadcast_if_small(repeated), pair, "left_semi")
+        .groupBy(*pair)
+        .agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
     )
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return kept.unionAll(again.select("row.*"))
