@@ -109,6 +109,20 @@ def test_peeling_recovers_digests(spark):
     assert [r["d"]["left"] for r in found] == [0, 0]
 
 
+@pytest.mark.parametrize("retries", [1, 8])
+def test_digests_of_equal_cells_are_recovered(spark, monkeypatch, retries):
+    """With two cells a part, every eighth pair of a table shares all its cells."""
+    monkeypatch.setattr(fingerprint, "THIRD", 2)
+    monkeypatch.setattr(fingerprint, "RETRIES", retries)
+    frame = spark.createDataFrame([(list(range(1500)), list(range(700, 2000)))], "a array<long>, b array<long>")
+    tables = frame.withColumns({c: fingerprint.sketch(F.col(c[0])) for c in ("a_t", "b_t")})
+    found = tables.select(
+        fingerprint.differing(F.col("a"), F.col("b"), F.col("a_t"), F.col("b_t")).alias("d")
+    ).first()["d"]["found"]
+    want = {(k, 1) for k in range(700)} | {(k, -1) for k in range(1500, 2000)}
+    assert len(found) == len(want) and {(x["k"], x["n"]) for x in found} == want
+
+
 def test_licenses(odd):
     rows = licenses.scan(odd).collect()
     assert len(rows) == len(TEXTS)

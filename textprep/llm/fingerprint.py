@@ -4,7 +4,8 @@ A paragraph is a line, cut after every sixteen words. Its digest goes into three
 table; a cell holds how many digests it took, their exclusive-or and that of their check
 values. Subtracting the tables of two versions leaves the digests in which they differ, and
 peeling takes them out: a cell of one digest names it, and removing it opens further cells.
-If that ends early, the digests are dealt to several tables, twice as many at each retry.
+If that ends early, the digests are dealt to several tables; those of tables that do not peel
+are dealt again with other cells, and what no retry peels is told apart by the digests themselves.
 """
 
 from __future__ import annotations
@@ -135,19 +136,30 @@ def peel(cells: Column, seed: Column) -> Column:
 
 
 def _in_tables(signed: Column, tables: Column, seed: Column) -> Column:
-    """Deal signed digests to tables by hash, in two steps, and peel each table."""
+    """Deal signed digests to tables by hash, in two steps, and peel each table.
+
+    ``found`` of the tables that peel to the end, ``rest``: all digests of the others, and
+    ``left``, the cells that these keep.
+    """
     wide = F.ceil(F.sqrt(tables)).cast("long")
 
     def place(x: Column) -> Column:
         return F.xxhash64(x["k"], seed, F.lit("table"))
 
+    def peeled(mine: Column) -> Column:
+        return _let(
+            peel(_filled(_items(mine, seed)), seed),
+            lambda r: F.struct(
+                F.filter(r["found"], lambda _: r["left"] == 0).alias("found"),
+                F.filter(mine, lambda _: r["left"] > 0).alias("rest"),
+                r["left"].alias("left"),
+            ),
+        )
+
     def inner(some: Column, w: Column) -> Column:
         return F.transform(
             F.sequence(F.lit(0).cast("long"), w - 1),
-            lambda j: peel(
-                _filled(_items(F.filter(some, lambda x: F.pmod(F.shiftright(place(x), 32), w) == j), seed)),
-                seed,
-            ),
+            lambda j: _let(F.filter(some, lambda x: F.pmod(F.shiftright(place(x), 32), w) == j), peeled),
         )
 
     def outer(w: Column) -> Column:
@@ -162,6 +174,7 @@ def _in_tables(signed: Column, tables: Column, seed: Column) -> Column:
         _let(wide, outer),
         lambda all_: F.struct(
             F.flatten(F.transform(all_, lambda r: r["found"])).alias("found"),
+            F.flatten(F.transform(all_, lambda r: r["rest"])).alias("rest"),
             F.aggregate(all_, F.lit(0), lambda total, r: total + r["left"]).alias("left"),
         ),
     )
@@ -170,20 +183,47 @@ def _in_tables(signed: Column, tables: Column, seed: Column) -> Column:
 def differing(
     left_keys: Column, right_keys: Column, left_sketch: Column, right_sketch: Column
 ) -> Column:
-    """``found`` and ``left`` as in :func:`peel`, after as many retries as it takes.
+    """``found`` as in :func:`peel`, always whole, and ``left``, the cells that no retry empties.
 
-    The sketches are tried first. A retry spreads the digests over tables that suit all of
-    them, with other cells each time. What fails :data:`RETRIES` times, which needs equal
-    digests of different paragraphs, keeps ``left`` above 0.
+    The sketches are tried first. A retry spreads the digests that have not been peeled over
+    tables that suit all of them, with other cells each time. Digests that share all three cells
+    at every one of :data:`RETRIES` retries are compared themselves.
     """
     first = peel(subtract(left_sketch, right_sketch), F.lit(0))
     signed = F.concat(_signed(left_keys, 1), _signed(right_keys, -1))
+    start = _let(
+        first,
+        lambda r: F.struct(
+            F.filter(r["found"], lambda _: r["left"] == 0).alias("found"),
+            F.filter(signed, lambda _: r["left"] > 0).alias("rest"),
+            r["left"].alias("left"),
+        ),
+    )
 
     def retry(state: Column, level: Column) -> Column:
-        tables = F.greatest(F.lit(1), F.ceil(F.size(signed) / LOAD)) * F.pow(F.lit(2), level - 1).cast("long")
-        return F.when(state["left"] == 0, state).otherwise(_in_tables(signed, tables, level))
+        rest = state["rest"]
+        tables = F.greatest(F.lit(1), F.ceil(F.size(rest) / LOAD)) * F.pow(F.lit(2), level - 1).cast("long")
+        again = _let(
+            _in_tables(rest, tables, level),
+            lambda r: F.struct(
+                F.concat(state["found"], r["found"]).alias("found"), r["rest"].alias("rest"), r["left"].alias("left")
+            ),
+        )
+        return F.when(state["left"] == 0, state).otherwise(again)
+
+    def whole(state: Column) -> Column:
+        def side(sign: int) -> Column:
+            return F.transform(F.filter(state["rest"], lambda x: x["n"] == sign), lambda x: x["k"])
+
+        left, right = side(1), side(-1)
+        return F.struct(
+            F.concat(
+                state["found"], _signed(F.array_except(left, right), 1), _signed(F.array_except(right, left), -1)
+            ).alias("found"),
+            state["left"].alias("left"),
+        )
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(RETRIES)), first, retry)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(RETRIES)), start, retry, whole)
 
 
 def likeness(difference: Column, left_keys: Column, right_keys: Column) -> Column:
