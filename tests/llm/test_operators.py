@@ -417,6 +417,23 @@ def test_toxicity_held_out(spark):
     assert {r["score"] for r in none} == {0.0}
 
 
+def test_toxicity_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
+    """An id that many rows hold."""
+    taken = []
+    monkeypatch.setattr(toxicity, "fit_texts", lambda rows: taken.append(rows))
+    rows = [(7, f"text {i % 50} " + "é" * 40) for i in range(200)] + [(i, f"own {i} " + "b" * 80) for i in range(8, 40)]
+    docs = spark.createDataFrame([*rows, (9, None), (None, "x")], "doc_id long, text string").repartition(4)
+    known = labels(spark, [(i, int(i in (7, 38))) for i in range(7, 40)])
+    toxicity.fit(docs, known, 10, 5)
+    toxicity.fit(docs, known)
+    toxicity.fit(docs, known, max_bytes=2000)
+    assert Counter(y for _, y in taken[0]) == {1: 10, 0: 5}
+    assert any(t.startswith("own 38 ") for t, _ in taken[0])
+    assert len(taken[1]) == len(set(taken[1])) and {t for t, y in taken[1] if y} == {t for i, t in rows if i in (7, 38)}
+    for label in (0, 1):
+        assert 800 < sum(len(t.encode()) for t, y in taken[2] if y == label) <= 1000
+
+
 def test_sql_of_chat_and_warc():
     for name in ("op4_chat_formatting", "op6_warc"):
         assert duckdb.extract_statements(SQL[name])

@@ -20,12 +20,13 @@ import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textprep.llm.common import ship
+from textprep.llm.common import ship, write_once
 
 LETTERS = re.compile(r"[^\W\d_]+")
 SIZES = (4, 5, 6)
 LOWEST, HIGHEST = -5, 60
 KEPT_WINDOWS = 500_000
+MAX_BYTES = 200_000_000  # of sample texts on the driver
 
 
 def words(text: str) -> set[str]:
@@ -175,12 +176,15 @@ def fit(
     max_ordinary: int = 6_000,
     id_col: str = "doc_id",
     text_col: str = "text",
+    max_bytes: int = MAX_BYTES,
 ) -> ToxicityModel | None:
     """Fit on a bounded sample of the labelled rows that may be learned from.
 
     At most ``max_toxic`` and ``max_ordinary`` ids, those first in the order of a hash, are
-    looked up by a broadcast of these ids; no text is shuffled. Rows without id, label or
-    text are left out.
+    looked up by a broadcast of these ids. Of the different texts found, at most as many again
+    a label are collected, one of each id before further ones, and at most half of ``max_bytes``
+    of UTF-8 a label; texts that no longer fit are passed over. Before that only digests and
+    sizes are shuffled. Rows without id, label or text are left out.
     """
     usable = labels.select(F.col(id_col).alias("_id"), F.col("toxic").alias("_toxic")).filter(
         in_training(F.col("_id")) & F.col("_toxic").isin(0, 1)
@@ -190,7 +194,35 @@ def fit(
         usable.filter("_toxic = 0").orderBy(*by_hash).limit(max_ordinary)
     )
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    found = texts.join(F.broadcast(chosen.distinct()), "_id").filter("_text is not null")
+    texts = texts.filter("_text is not null")
+    told = write_once(
+        texts.join(F.broadcast(chosen.distinct()), "_id")
+        .withColumns({"_digest": F.xxhash64("_text"), "_bytes": F.octet_length("_text")})
+        .groupBy("_toxic", "_digest")
+        .agg(F.min("_id").alias("_id"), F.max("_bytes").alias("_bytes"))
+    )
+    least = told.groupBy("_toxic", "_id").agg(F.min("_digest").alias("_least"))  # a row for each id
+    ordered = told.join(F.broadcast(least), ["_toxic", "_id"]).orderBy(
+        F.col("_digest") != F.col("_least"), F.md5(F.col("_id").cast("string")), "_digest"
+    )
+    kept: list[tuple] = []
+    for toxic, most in ((1, max_toxic), (0, max_ordinary)):
+        left = max_bytes // 2
+        for r in ordered.filter(F.col("_toxic") == toxic).limit(most).collect():
+            if r["_bytes"] <= left:
+                left -= r["_bytes"]
+                kept.append((r["_id"], r["_digest"], toxic))
+    if not kept:
+        return None
+    kind = dict(chosen.dtypes)["_id"]
+    named = docs.sparkSession.createDataFrame(kept, f"_id {kind}, _digest long, _toxic int")
+    found = (
+        texts.join(F.broadcast(named.select("_id").distinct()), "_id", "left_semi")
+        .withColumn("_digest", F.xxhash64("_text"))
+        .join(F.broadcast(named), ["_id", "_digest"])
+        .groupBy("_toxic", "_digest")
+        .agg(F.first("_text").alias("_text"))
+    )
     return fit_texts([(r["_text"], r["_toxic"]) for r in found.select("_text", "_toxic").collect()])
 
 
