@@ -1035,11 +1035,11 @@ if importlib.util.find_spec("textprep.llm") and importlib.util.find_spec("textpr
     _llm = importlib.import_module("textprep.llm.queries")
     QUERIES.update(_llm.QUERIES)
     LLM_SQL.update(_llm.SQL)
-if importlib.util.find_spec("corpus_pipeline") is not None:
-    _pipeline = importlib.import_module("corpus_pipeline")
-    QUERIES["pipeline"] = _pipeline.run
-    if _pipeline.ORACLE_SQL is not None:
-        LLM_SQL["pipeline"] = _pipeline.ORACLE_SQL
+    if importlib.util.find_spec("corpus_pipeline"):
+        _pipeline = importlib.import_module("corpus_pipeline")
+        QUERIES["pipeline"] = _pipeline.run
+        if _pipeline.ORACLE_SQL is not None:
+            LLM_SQL["pipeline"] = _pipeline.ORACLE_SQL
 
 # ---- driver contract --------------------------------------------------------------
 
