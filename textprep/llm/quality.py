@@ -34,12 +34,19 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def _windows(hashes: Column) -> Column:
     """Hash of every window of eight words, from pairs of pairs of pairs."""
+
+    def joined(step: int) -> Callable[[Column], Column]:
+        def pairs(h: Column) -> Column:
+            left = F.greatest(F.size(h) - step, F.lit(0))
+            return F.zip_with(
+                F.slice(h, F.lit(1), left), F.slice(h, F.lit(1 + step), left),
+                lambda a, b: F.xxhash64(a, b),
+            )
+
+        return pairs
+
     for step in (1, 2, 4):
-        left = F.greatest(F.size(hashes) - step, F.lit(0))
-        hashes = F.zip_with(
-            F.slice(hashes, F.lit(1), left), F.slice(hashes, F.lit(1 + step), left),
-            lambda a, b: F.xxhash64(a, b),
-        )
+        hashes = _let(hashes, joined(step))
     return hashes
 
 
@@ -216,4 +223,6 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     # whole rows as one column, so that no name of theirs can clash
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     rows = measured(docs.select(row, F.col(text_col).alias("text")))
+    # measured once: the model needs all votes before the first row can be judged
+    rows = write_once(rows.select("row", "_m"))
     return rows.filter(kept(fit(rows))).select("row.*")
