@@ -63,3 +63,26 @@ def parallelism(spark: SparkSession) -> int:
 
 def text_or_empty(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+BROADCAST_ROWS = 200_000  # of a few numbers and a key each
+SALTS = 64
+
+
+def attach(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join with a written table that has one row a key; null is a key too.
+
+    The table is counted: a small one is broadcast. A larger one is repeated under
+    :data:`SALTS` salts that the rows take in turn, so a key with a third of all rows is
+    spread over as many tasks.
+    """
+    named = {k: f"_of_{i}" for i, k in enumerate(keys)}
+    right = table.withColumnsRenamed(named)
+    match = [F.col(k).eqNullSafe(F.col(o)) for k, o in named.items()]
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(right), match, "left").drop(*named.values())
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    left = rows.withColumn("_salt_of", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    right = right.withColumn("_salt_at", salts)
+    match.append(F.col("_salt_of") == F.col("_salt_at"))
+    return left.join(right, match, "left").drop(*named.values(), "_salt_of", "_salt_at")
