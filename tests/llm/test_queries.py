@@ -20,7 +20,7 @@ def test_query(spark, name):
 
 
 def test_all_are_registered():
-    assert {n.split("_")[0] for n in NAMES} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
+    assert {n.split("_")[0] for n in NAMES} == {*(f"op{i}" for i in range(1, 14)), "pipeline"}
 
 
 def test_pipeline_stages(spark, tmp_path):

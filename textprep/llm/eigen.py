@@ -12,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 STEPS = 12
+DONE = 1e-15  # a correction so small leaves its square
 
 
 def _clusters(values: np.ndarray, close: np.longdouble) -> list[np.ndarray]:
@@ -36,12 +37,15 @@ def eigen(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = np.linalg.eigh(a.astype(np.float32))[1].astype(np.longdouble)
     unit = np.eye(len(a), dtype=np.longdouble)
     last = np.inf
+    least = 8 * len(a) * np.finfo(np.longdouble).eps * size  # rounding of the products
     for _ in range(STEPS):
         r = unit - x.T @ x
         s = x.T @ (a @ x)
+        r, s = (r + r.T) / 2, (s + s.T) / 2
         values = np.diag(s) / (1 - np.diag(r))
         off = s - np.diag(values)
         close = 2 * (np.sqrt((off * off).sum()) + size * np.sqrt((r * r).sum()))
+        close = max(close, least)
         gaps = values[None, :] - values[:, None]
         apart = np.abs(gaps) > close
         e = np.where(apart, (s + values[None, :] * r) / np.where(apart, gaps, 1), r / 2)
@@ -51,12 +55,14 @@ def eigen(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             middle = values[places].mean()
             inner = own.T @ (a @ own - middle * own)
             width = np.abs(inner).max()
-            if width > 1e-18:
-                x[:, places] = own @ np.linalg.eigh((inner / width).astype(np.float64))[1].astype(np.longdouble)
+            if width > least:
+                turn = np.linalg.eigh((inner / width).astype(np.float64))[1]
+                x[:, places] = own @ turn.astype(np.longdouble)
         now = np.abs(e).max()
-        if now < 1e-18 or (now < 1e-15 and now >= last):
+        if now < DONE or (last < 1e-4 and now > last / 2):  # the rest is rounding of close values
             break
         last = now
+    x = (3 * x - x @ (x.T @ x)) / 2
     values = np.einsum("ij,ij->j", x, a @ x) / np.einsum("ij,ij->j", x, x)
     order = np.argsort(-values, kind="stable")
     x, values = x[:, order], values[order] * scale

@@ -127,7 +127,7 @@ def mix(
     seed: int = 42,
     id_col: str = "doc_id",
     source_col: str = "source",
-    text_col: str = "text",
+    size: Column | None = None,
 ) -> DataFrame:
     """``row`` (the columns of ``docs`` as one struct), ``size``, ``source_size``, ``target`` and
     ``copies`` of every row.
@@ -136,12 +136,14 @@ def mix(
     point and null last. A source without a weight gives nothing; null is a source of its own.
     A null text and one without words have size 0 and no say. Rows are written once with the
     columns given, so select what is needed. Rows of equal id and size are interchangeable:
-    how many of them are taken is fixed, by row the place decides. No rows give no rows; extra
+    how many of them are taken is fixed, by row the place decides. ``size`` is a whole number,
+    the words of ``text`` unless given. No rows give no rows; extra
     columns of any name stay inside ``row``.
     """
+    measure = word_count(F.col("text")) if size is None else size
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     source = F.col(source_col).cast("string").alias("source")
-    sized = docs.select(row, source, F.col(id_col).alias("_id"), word_count(F.col(text_col)).alias("size"))
+    sized = docs.select(row, source, F.col(id_col).alias("_id"), measure.alias("size"))
     order = F.concat_ws(
         "|", F.lit(str(seed)), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.col("size").cast("string")
     )
@@ -173,4 +175,4 @@ def mix(
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """The rows of the mix themselves, each as often as it is taken, with the columns they came with."""
-    return mixed.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")

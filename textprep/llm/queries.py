@@ -165,8 +165,9 @@ MIX_SEED = 42
 
 @query
 def op11_mixing(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
-    mixed = mixing.mix(docs, MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+    words = mixing.word_count(F.col("text")).alias("words")
+    docs = table(spark, sf, "documents").select("doc_id", "source", words)
+    mixed = mixing.mix(docs, MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED, size=F.col("words"))
     return mixed.select(
         F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target",
         (F.col("copies") * F.col("size")).alias("taken"), "copies",
