@@ -606,6 +606,15 @@ def seq_encode_oov(spark: SparkSession, sf: str) -> DataFrame:
     return encoded(spark, sf, True).select("id", spaced("seq").alias("seq"))
 
 
+@query
+def seq_encode_full(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents by the ids of all their words, whose vocabulary no task holds."""
+    docs = documents(spark, sf)
+    vocab = sequences.fit_vocabulary(docs, fn.sequence_tokens("text"))
+    found = sequences.encode(docs, fn.sequence_tokens("text"), vocab, ["doc_id"])
+    return found.select("doc_id", spaced("seq").alias("seq"))
+
+
 def padded(name: str, length: int, padding: str, truncating: str, oov: bool) -> None:
     register(
         name,
@@ -721,8 +730,8 @@ def capped(spark: SparkSession, sf: str) -> DataFrame:
 
 def weighted(spark: SparkSession, sf: str) -> DataFrame:
     total = tfidf.document_total(table(spark, sf, "labels"))
-    return tfidf.tfidf_weights(
-        counted(spark, sf), capped(spark, sf), total, ["id", "label"], FEATURES.max_features
+    return tfidf.weigh_documents(
+        labelled(spark, sf), terms(), capped(spark, sf), total, ["id", "label"], FEATURES.max_features
     )
 
 

@@ -442,6 +442,12 @@ FROM tok GROUP BY term"""
         sql = f"{with_(encode_ctes(oov))}SELECT id, array_to_string(s, ' ') AS seq FROM seqs"
         q["seq_encode_oov" if oov else "seq_encode"] = sql
     q["vocab_model_encode"] = q["seq_encode_oov"]
+    q["seq_encode_full"] = f"""WITH toks AS (SELECT doc_id, {seq_tokens(x)} AS t FROM documents),
+pos AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM toks),
+vocab AS (SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) AS idx FROM pos GROUP BY term),
+seqs AS (SELECT doc_id, string_agg(idx::VARCHAR, ' ' ORDER BY pos) AS seq
+  FROM pos JOIN vocab USING (term) GROUP BY doc_id)
+SELECT toks.doc_id, coalesce(seq, '') AS seq FROM toks LEFT JOIN seqs USING (doc_id)"""
     q["pad_post_trunc_pre"] = padded(35, "post", "pre", True)
     q["pad_post_trunc_post"] = padded(100, "post", "post", False)
     q["pad_pre_trunc_pre"] = padded(64, "pre", "pre", False)

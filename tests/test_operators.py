@@ -160,6 +160,18 @@ def test_encode(spark):
     assert {r["id"]: r["seq"] for r in oov} == {1: [3, 1, 2, 3], 2: [], 3: [1], 4: []}
 
 
+def test_encode_by_dictionary(spark):
+    """Any vocabulary, words repeated and unknown, rows of no tokens and of none at all."""
+    rows = [(i, random.Random(i).choices("abcdefgh", k=i % 7)) for i in range(40)] + [(99, None), (98, ["zz", "a"])]
+    docs = spark.createDataFrame(rows, "id int, t array<string>").repartition(4)
+    vocab = sequences.fit_vocabulary(docs.filter("id < 90"), "t")
+    ids = {r["term"]: r["idx"] for r in vocab.collect()}
+    for oov in (False, True):
+        got = {r["id"]: r["seq"] for r in sequences.encode(docs, "t", vocab, ["id"], oov=oov).collect()}
+        want = {i: [ids.get(w, 1) if oov else ids[w] for w in t or [] if oov or w in ids] for i, t in rows}
+        assert got == want
+
+
 @pytest.mark.parametrize("n", [0, 2, 3, 4])
 def test_pad(spark, n):
     df = spark.createDataFrame([(list(range(1, n + 1)),)], "s array<int>")
@@ -230,6 +242,11 @@ def test_tfidf_and_chi2(spark, corpus, cap):
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
+    inside = tfidf.weigh_documents(df, "t", vocab, n, ["id", "label"], cap or 1_000)
+    assert inside.columns == weighted.columns
+    same = {(r["id"], r["term"]): r["weight"] for r in inside.collect()}
+    assert same.keys() == want.keys() and all(abs(same[k] - want[k]) < 1e-9 for k in want)
+
     label = {i: c for i, c, _ in docs}
     share = {c: m / len(docs) for c, m in Counter(label.values()).items()}
     scores = {}
@@ -243,6 +260,8 @@ def test_tfidf_and_chi2(spark, corpus, cap):
     if cap:  # a vocabulary beyond the stated size is not cut, it goes another way
         other = tfidf.tfidf_weights(counts, vocab, n, ["id", "label"], 2)
         assert {(r["id"], r["term"]) for r in other.collect()} == want.keys()
+        other = tfidf.weigh_documents(df, "t", vocab, n, ["id", "label"], 2)
+        assert {(r["id"], r["term"]) for r in other.collect()} == want.keys()
     best = [r["term"] for r in tfidf.select_k_best(chi2, 3).collect()]
     assert set(best) == set(sorted(scores, key=lambda t: (-scores[t], t))[:3])
     kept_rows = tfidf.project_terms(weighted, chi2.filter(F.col("term").isin(best)), 3)

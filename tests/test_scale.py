@@ -1,5 +1,7 @@
 """Plans and behaviour under skew: what must stay true when the tables grow."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +98,42 @@ def test_capped_vocabulary_is_broadcast(spark):
     assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
 
 
+def exchanged(df):
+    """Columns that the exchanges of the plan take in."""
+    text = df._jdf.queryExecution().explainString(
+        spark_mode(df.sparkSession)
+    )
+    found = re.findall(r"\(\d+\) (?:Broadcast)?Exchange\nInput \[\d+\]: \[(.*?)\]\n", text)
+    return {re.sub(r"#\d+L?", "", c) for columns in found for c in columns.split(", ")}
+
+
+def spark_mode(spark):
+    return getattr(spark._jvm.org.apache.spark.sql.execution, "ExplainMode").fromString("formatted")
+
+
+def test_no_token_occurrence_crosses_an_exchange(spark, shuffle_joins, monkeypatch):
+    """A document of one word 50,000 times sends one row to the vocabulary, as a list of places."""
+    monkeypatch.setattr(joins, "HOT_KEYS", 1)
+    docs = spark.createDataFrame(
+        [(1, ["x"] * 50_000), (2, ["y", "x", "y"])], "id int, t array<string>"
+    )
+    vocab = sequences.fit_vocabulary(docs, "t")
+    words = docs.select("id", F.inline_outer(sequences.word_places("t")))
+    assert words.count() == 3
+    coded = sequences.encode(docs, "t", vocab, ["id"])
+    crossed = exchanged(coded)
+    assert crossed and not crossed & {"t", "pos", "col"}
+    assert {"term", "at"} <= crossed
+    assert {r["id"]: (len(r["seq"]), r["seq"][:3]) for r in coded.collect()} == {1: (50_000, [1, 1, 1]), 2: (3, [2, 1, 2])}
+
+
+def test_weights_need_no_exchange(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b"])], "id int, t array<string>")
+    vocab = tfidf.term_stats(tfidf.term_counts(docs, "t", ["id"]))
+    weighed = tfidf.weigh_documents(docs, "t", vocab, 2, ["id"], 10)
+    assert "Exchange" not in plan(weighed) and weighed.count() == 3
+
+
 def test_term_counts_need_no_exchange(spark):
     docs = spark.createDataFrame([(1, "a b a")], "id int, text string")
     counts = tfidf.term_counts(docs, fn.with_bigrams(fn.word_tokens("text")), ["id"])

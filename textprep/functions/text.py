@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -133,15 +133,20 @@ def sequence_tokens(
     return F.filter(F.split(text, " ", -1), lambda t: t != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value once for use at several places of ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def with_bigrams(tokens: Column | str) -> Column:
     """The tokens followed by all adjacent pairs joined by a blank."""
-    t = _col(tokens)
-    pairs = F.greatest(F.size(t) - 1, F.lit(0))
-    return F.concat(
-        t,
-        F.zip_with(
-            F.slice(t, F.lit(1), pairs),
-            F.slice(t, F.lit(2), pairs),
+
+    def both(t: Column) -> Column:
+        pairs = F.greatest(F.size(t) - 1, F.lit(0))
+        follow = F.zip_with(
+            F.slice(t, F.lit(1), pairs), F.slice(t, F.lit(2), pairs),
             lambda a, b: F.concat(a, F.lit(" "), b),
-        ),
-    )
+        )
+        return F.concat(t, follow)
+
+    return let(_col(tokens), both)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textprep.functions.scalars import seeded_normal
-from textprep.functions.text import _col
-from textprep.operators.joins import lookup_terms, lookup_vectors
+from textprep.functions.text import _col, let
+from textprep.operators.joins import lookup_terms, lookup_vectors, spread_lookup
 from textprep.operators.ranking import global_rank, top_n
 
 OOV = 1
@@ -46,6 +46,51 @@ def lookup_ids(
     return lookup_terms(exploded, vocab, ["idx"], [F.asc("idx")], num_words)
 
 
+def word_places(tokens: Column | str) -> Column:
+    """``array<struct<term, at>>``: every different word of one token array, and its places."""
+
+    def runs(s: Column) -> Column:
+        def starts_run(i: Column) -> Column:
+            return (i == 1) | (F.get(s, i - 1)["term"] != F.get(s, i - 2)["term"])
+
+        def entries(starts: Column) -> Column:
+            def entry(first: Column, j: Column) -> Column:
+                upto = F.coalesce(F.get(starts, j + 1), F.size(s) + 1)
+                at = F.transform(F.slice(s, first, upto - first), lambda x: x["at"])
+                return F.struct(F.get(s, first - 1)["term"].alias("term"), at.alias("at"))
+
+            return F.transform(starts, entry)
+
+        return let(F.filter(F.sequence(F.lit(1), F.size(s)), starts_run), entries)
+
+    placed = F.transform(_col(tokens), lambda t, i: F.struct(t.alias("term"), i.alias("at")))
+    return F.when(F.size(placed) > 0, let(F.array_sort(placed), runs))
+
+
+def encode_words(
+    df: DataFrame, tokens: str | Column, vocab: DataFrame, keys: list[str], oov: bool = False
+) -> DataFrame:
+    """``keys + seq`` by dictionary: for vocabularies of any size.
+
+    A document's different words meet the vocabulary, each with the list of its places, and
+    only numbers come back. A word that fills a document crosses the exchange once, and
+    frequent words don't cross it at all (:func:`spread_lookup`).
+    """
+    words = df.select(*keys, F.inline_outer(word_places(tokens)))
+    found = spread_lookup(words, vocab.select("term", "idx"), "term", ["idx"], [F.asc("idx")])
+    idx = F.coalesce("idx", F.lit(OOV)) if oov else F.col("idx")
+    entry = F.when(F.col("at").isNotNull() & idx.isNotNull(), F.struct(idx.alias("idx"), "at"))
+    gathered = found.groupBy(*keys).agg(F.collect_list(entry).alias("_found"))
+    placed = F.flatten(
+        F.transform(
+            "_found", lambda w: F.transform(w["at"], lambda p: F.struct(p.alias("at"), w["idx"].alias("idx")))
+        )
+    )
+    return gathered.select(
+        *keys, F.transform(F.array_sort(placed), lambda e: e["idx"]).alias("seq")
+    )
+
+
 def encode(
     df: DataFrame,
     tokens: str | Column,
@@ -57,8 +102,11 @@ def encode(
     """``keys + seq``: token ids in order. Unknown words become 1 with ``oov``, else vanish.
 
     One exchange, of one row per document: the ids of a document are collected
-    before it, in the task that read the document.
+    before it, in the task that read the document. Without ``num_words`` the vocabulary may
+    have any size, see :func:`encode_words`.
     """
+    if num_words is None:
+        return encode_words(df, tokens, vocab, keys, oov)
     ids = lookup_ids(df, tokens, vocab, keys, num_words)
     idx = F.coalesce("idx", F.lit(OOV)) if oov else F.col("idx")
     entry = F.when(F.col("term").isNotNull() & idx.isNotNull(), F.struct("pos", idx.alias("idx")))

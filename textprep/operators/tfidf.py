@@ -7,18 +7,18 @@ pre-aggregates per task. Chosen vocabularies are capped and therefore broadcast.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textprep.functions.text import _col
+from textprep.functions.text import _col, let
 from textprep.operators.joins import lookup_terms
 from textprep.session import pin_small
 
 
-def _let(value: Column, body) -> Column:
-    """Bind a value once for use at several places of a lambda."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def count_terms(tokens: Column | str) -> Column:
     """``array<struct<term, tf>>`` of one token array: sort it, then measure the runs."""
 
@@ -37,10 +37,10 @@ def count_terms(tokens: Column | str) -> Column:
                 ),
             )
 
-        return _let(F.filter(F.sequence(F.lit(1), F.size(s)), starts_run), entries)
+        return let(F.filter(F.sequence(F.lit(1), F.size(s)), starts_run), entries)
 
     t = _col(tokens)
-    return F.when(F.size(t) > 0, _let(F.array_sort(t), runs))
+    return F.when(F.size(t) > 0, let(F.array_sort(t), runs))
 
 
 def term_counts(df: DataFrame, tokens: Column | str, keys: list[str]) -> DataFrame:
@@ -102,6 +102,55 @@ def tfidf_weights(
     )
 
 
+def weigh_documents(
+    df: DataFrame,
+    tokens: Column | str,
+    vocab: DataFrame,
+    n_docs: Column | int,
+    keys: list[str],
+    max_features: int,
+) -> DataFrame:
+    """:func:`tfidf_weights` straight from the documents: counted and weighed inside the row.
+
+    The vocabulary, of ``max_features`` rows at most, goes to every task as sorted columns. A
+    batch's tokens are looked up in it at once, equal ones of a document are counted as equal
+    numbers, and weights have unit length before a row leaves; nothing is exchanged. A larger
+    vocabulary is not cut but takes the long way over :func:`term_counts`.
+    """
+    idf = vocab.select("term", "df", smooth_idf("df", n_docs).alias("idf"))
+    known = idf.select("term", "idf").limit(max_features + 1).toArrow()
+    if known.num_rows > max_features:
+        return tfidf_weights(term_counts(df, tokens, keys), vocab, n_docs, keys)
+    known = known.sort_by("term")
+    terms = known.column("term").combine_chunks().cast(pa.string())
+    scale = known.column("idf").to_numpy()
+    shared = df.sparkSession.sparkContext.broadcast((terms, scale))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, scale = shared.value
+        for batch in batches:
+            lists = batch.column("_tokens")
+            at = pc.index_in(pc.list_flatten(lists).cast(pa.string()), value_set=terms)
+            hit = pc.is_valid(at).to_numpy(zero_copy_only=False)
+            row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[hit]
+            place = row * len(terms) + pc.drop_null(at).to_numpy(zero_copy_only=False)
+            entry, tf = np.unique(place, return_counts=True)
+            row, term = np.divmod(entry, max(len(terms), 1))
+            weight = (np.log(tf.astype(np.float64)) + 1.0) * scale[term]
+            norm = np.sqrt(np.bincount(row, weights=weight * weight, minlength=batch.num_rows))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(k).take(pa.array(row)) for k in keys),
+                    terms.take(pa.array(term)), pa.array(weight / norm[row]),
+                ],
+                [*keys, "term", "weight"],
+            )
+
+    rows = df.select(*keys, _col(tokens).alias("_tokens"))
+    fields = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.mapInArrow(run, f"{fields}, term string, weight double")
+
+
 def chi2_scores(weights: DataFrame, sizes: dict, label: str = "label") -> DataFrame:
     """``(term, chi2)`` of continuous weights against the class.
 
