@@ -719,8 +719,8 @@ def counted(spark: SparkSession, sf: str) -> DataFrame:
 
 def bounded_stats(spark: SparkSession, sf: str) -> DataFrame:
     total = tfidf.document_total(table(spark, sf, "labels"))
-    return tfidf.df_bounds(
-        tfidf.term_stats(counted(spark, sf)), total, FEATURES.min_df, FEATURES.max_df
+    return tfidf.bounded_terms(
+        labelled(spark, sf), terms(), total, FEATURES.min_df, FEATURES.max_df
     )
 
 

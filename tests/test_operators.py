@@ -276,6 +276,18 @@ def test_df_bounds_are_inclusive(spark):
     assert {r["term"] for r in tfidf.df_bounds(stats, 4, 1, 0.74).collect()} == {"y"}
 
 
+@pytest.mark.parametrize("cells", [64, 1 << 20])
+@pytest.mark.parametrize("bounds", [(1, 1.0), (2, 0.5), (7, 0.9), (300, 1.0)])
+def test_bounded_terms_are_exact(spark, cells, bounds):
+    """Terms that share cells, rows of no tokens, and bounds beyond a byte."""
+    drawn = random.Random(3)
+    rows = [(i, [f"t{int(drawn.paretovariate(0.4)) % 500}" for _ in range(i % 12)]) for i in range(600)]
+    docs = spark.createDataFrame([*rows, (700, None), (701, ["x"] * 9)], "id int, t array<string>").repartition(4)
+    want = tfidf.df_bounds(tfidf.term_stats(tfidf.term_counts(docs, "t", ["id"])), 602, *bounds)
+    found = tfidf.bounded_terms(docs, "t", 602, *bounds, cells=cells)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
 # ---- profile, weights, evaluation -------------------------------------------------
 
 

@@ -134,6 +134,34 @@ def test_weights_need_no_exchange(spark):
     assert "Exchange" not in plan(weighed) and weighed.count() == 3
 
 
+def shuffled_bytes(plan):
+    """What the exchanges of an executed plan wrote."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return shuffled_bytes(plan.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return shuffled_bytes(plan.plan())
+    own = plan.metrics().get("shuffleBytesWritten").get().value() if name == "ShuffleExchangeExec" else 0
+    kids = plan.children()
+    return own + sum(shuffled_bytes(kids.apply(i)) for i in range(kids.size()))
+
+
+def test_sketch_halves_the_shuffle_of_terms(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    docs = docs.repartition(8).cache()
+    docs.count()
+    tokens = fn.with_bigrams(fn.word_tokens("text"))
+
+    def moved(df):
+        df.collect()
+        return shuffled_bytes(df._jdf.queryExecution().executedPlan())
+
+    plain = moved(tfidf.df_bounds(tfidf.term_stats(tfidf.term_counts(docs, tokens, [])), 1_000, 7, 0.75))
+    first = moved(tfidf.sketch(docs, tokens, 7))
+    second = moved(tfidf.bounded_terms(docs, tokens, 1_000, 7, 0.75))
+    assert 0 < first + second < plain / 2
+
+
 def test_term_counts_need_no_exchange(spark):
     docs = spark.createDataFrame([(1, "a b a")], "id int, text string")
     counts = tfidf.term_counts(docs, fn.with_bigrams(fn.word_tokens("text")), ["id"])

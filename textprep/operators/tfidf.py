@@ -66,6 +66,114 @@ def df_bounds(
     return stats.filter((F.col("df") >= min_df) & (F.col("df") <= total * max_df))
 
 
+CELLS = 1 << 24  # of the sketch: 2 MB of bits in each task
+BLOCK = 1 << 16
+
+
+def _cell(term: Column, cells: int) -> Column:
+    return F.xxhash64(term).bitwiseAND(F.lit(cells - 1)).cast("int")
+
+
+def sketch(df: DataFrame, tokens: Column | str, min_df: int, cells: int = CELLS) -> DataFrame:
+    """``block, bits``: the cells of a count-min sketch that ``min_df`` documents or more fall into.
+
+    Documents are counted a cell, not a term, in one array per task that stops counting at
+    ``min_df``; what the tasks exchange are the places and counts that are not zero, by block.
+    """
+    kind = np.uint8 if min_df < 256 else np.uint32
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, total = pa.Codec("zstd").compress, np.zeros(cells, kind)
+        for batch in batches:
+            found = pc.list_flatten(batch.column("cells")).to_numpy(zero_copy_only=False)
+            at, n = np.unique(found, return_counts=True)
+            total[at] = np.minimum(total[at] + n, min_df)
+        total = total.reshape(-1, min(BLOCK, cells))
+        for block in np.flatnonzero(total.any(axis=1)).tolist():
+            at = np.flatnonzero(total[block])
+            gaps = np.diff(at, prepend=0).astype(np.uint16)
+            packed = [pack(gaps.tobytes(), asbytes=True), pack(total[block][at].tobytes(), asbytes=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int32()), pa.array([len(at)], pa.int32()), *(pa.array([c], pa.binary()) for c in packed)],
+                ["block", "n", "gaps", "counts"],
+            )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        unpack = pa.Codec("zstd").decompress
+        for batch in batches:
+            for block, n, gaps, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                total = totals.setdefault(block, np.zeros(min(BLOCK, cells), np.uint32))
+                at = np.cumsum(np.frombuffer(unpack(gaps, 2 * n), np.uint16), dtype=np.int64)
+                own = np.frombuffer(unpack(counts, n * kind().itemsize), kind)
+                total[at] = np.minimum(total[at] + own, min_df)
+        bits = [np.packbits(t >= min_df, bitorder="little").tobytes() for t in totals.values()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(totals), pa.int32()), pa.array(bits, pa.binary())], ["block", "bits"]
+        )
+
+    own = F.array_distinct(F.transform(_col(tokens), lambda t: _cell(t, cells)))
+    counted = df.select(own.alias("cells")).mapInArrow(count, "block int, n int, gaps binary, counts binary")
+    return counted.repartition("block").mapInArrow(add, "block int, bits binary")
+
+
+def _frequent_terms(
+    df: DataFrame, tokens: Column | str, min_df: int, cells: int
+) -> DataFrame:
+    """``(term, df, tf)`` of the terms in ``min_df`` documents or more, and of others that share
+    a cell with such terms: never fewer. One partial row per term and batch is exchanged."""
+    block = min(BLOCK, cells)
+    bits = np.zeros((cells // block, block // 8), np.uint8)
+    for row in sketch(df, tokens, min_df, cells).toLocalIterator():  # cells / 8 bytes at most
+        bits[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    shared = df.sparkSession.sparkContext.broadcast(bits.reshape(-1))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            lists = batch.column("tokens")
+            cell = pc.list_flatten(batch.column("cells")).to_numpy(zero_copy_only=False)
+            kept = (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+            words = pc.list_flatten(lists).filter(pa.array(kept)).dictionary_encode()
+            row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[kept]
+            term = words.indices.to_numpy(zero_copy_only=False)
+            size = len(words.dictionary)
+            once = np.unique(row * size + term) % max(size, 1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    words.dictionary.cast(pa.string()), pa.array(np.bincount(once, minlength=size)),
+                    pa.array(np.bincount(term, minlength=size)),
+                ],
+                ["term", "df", "tf"],
+            )
+
+    rows = df.select(_col(tokens).alias("tokens"))
+    rows = rows.select("tokens", F.transform("tokens", lambda t: _cell(t, cells)).alias("cells"))
+    counted = rows.mapInArrow(count, "term string, df bigint, tf bigint")
+    return counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+
+
+def bounded_terms(
+    df: DataFrame,
+    tokens: Column | str,
+    n_docs: Column | int,
+    min_df: int = 1,
+    max_df: float = 1.0,
+    cells: int = CELLS,
+) -> DataFrame:
+    """``(term, df, tf)`` within the bounds, as :func:`df_bounds` has it, from the documents.
+
+    Rare terms are most of a vocabulary. A sketch drops them before any term is counted or
+    shuffled; those it keeps by chance are counted exactly and fall to ``min_df`` afterwards.
+    The larger the vocabulary is against ``cells``, the more of them it keeps.
+    """
+    if min_df > 1:
+        stats = _frequent_terms(df, tokens, min_df, cells)
+    else:
+        stats = term_stats(term_counts(df, tokens, []))
+    return df_bounds(stats, n_docs, min_df, max_df)
+
+
 def cap_vocabulary(stats: DataFrame, max_features: int) -> DataFrame:
     """The terms with the largest total count, ties by term."""
     return stats.orderBy(F.desc("tf"), F.asc("term")).limit(max_features)
