@@ -1,10 +1,13 @@
 """Readers and writers."""
 
 import os
+import random
 
 import pytest
 
 from textprep import sources as src
+from textprep.sources import idvalue
+from textprep.sources.quoted import read_quoted
 from textprep.operators.joins import join_labels
 from textprep.functions import decode_label
 
@@ -113,3 +116,101 @@ def test_vectors_of_one_dimension_and_repeated_words(spark, tmp_path):
     assert sorted((r["term"], r["vector"]) for r in rows.collect()) == [("7", [1.0]), ("8", [2.0]), ("8", [3.0])]
     kept = src.limit_vectors(rows, spark.createDataFrame([("8",)], "term string")).collect()
     assert [(r["term"], r["vector"]) for r in kept] == [("8", [3.0])]
+
+
+@pytest.fixture
+def small_splits(spark):
+    def to(size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+
+    yield to
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def csv_text(seed, rows, break_="\n"):
+    """Rows with line breaks, commas and quotes in quotes; some odd ones; one long text."""
+    drawn = random.Random(seed)
+
+    def cell():
+        kind = drawn.random()
+        plain = drawn.choice(["", "a", "bc d", " x ", "दो", 'say 5" here', "NA", "3"])
+        if kind < 0.5:
+            return plain
+        inner = "".join(drawn.choice(["a", "b ", ",", '""', break_, break_ + break_, "ए"]) for _ in range(drawn.randrange(12)))
+        return f'"{inner}"' + ("tail" if kind > 0.97 and break_ == "\n" else "")
+
+    lines = ["text,n,tag"]
+    for i in range(rows):
+        if i == rows // 2:
+            lines.append('"' + break_.join(f"long ""line"" {j}, of many" for j in range(400)).replace('"', '""') + f'",{i},z')
+        width = drawn.choice([3, 3, 3, 3, 2, 4])
+        lines.append(",".join(cell() for _ in range(width)))
+        if drawn.random() < 0.05:
+            lines.append("")
+    return break_.join(lines) + (break_ if seed % 2 else "")
+
+
+def spark_csv(spark, path):
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    return [tuple(r) for r in reader.csv(path).collect()]
+
+
+@pytest.mark.parametrize("seed, size", [(0, 100), (1, 333), (2, 5_000), (3, 1_000_000)])
+def test_quoted_breaks_are_read_by_many_tasks(spark, tmp_path, small_splits, seed, size):
+    path = write(tmp_path / "big.csv", csv_text(seed, 300))
+    want = spark_csv(spark, path)
+    small_splits(size)
+    schema = spark.read.option("header", True).option("multiLine", True).csv(path).schema
+    found = read_quoted(spark, path, schema)
+    assert size > 10_000 or found.rdd.getNumPartitions() > 5
+    rows = sorted(found.collect(), key=lambda r: r["_reading_order"])
+    assert [tuple(r)[:-1] for r in rows] == want
+    assert len({r["_reading_order"] for r in rows}) == len(rows)
+
+
+def test_quoted_breaks_in_several_files_and_with_carriage_returns(spark, tmp_path, small_splits):
+    (tmp_path / "in").mkdir()
+    for seed in range(4):
+        text = csv_text(seed, 60, "\r\n" if seed == 2 else "\n")
+        (tmp_path / "in" / f"{seed}.csv").write_bytes(text.encode())
+    want = sorted(x for s in range(4) for x in map(repr, spark_csv(spark, str(tmp_path / "in" / f"{s}.csv"))))
+    small_splits(700)
+    found = src.read_tweets(spark, str(tmp_path / "in"), missing=["\0"])
+    assert found.columns == ["text", "n", "tag", "id"]
+    assert sorted(repr(tuple(r)[:3]) for r in found.collect()) == want
+
+
+def test_open_quote_at_the_end_and_empty_files(spark, tmp_path, small_splits):
+    path = write(tmp_path / "open.csv", 'text,n\na,1\n"open\n' + "on and on\n" * 50)
+    want = spark_csv(spark, path)
+    small_splits(40)
+    want = [(want[0]), (want[1][0].removesuffix("\n"), None)]  # the last line feed ends the line
+    assert [tuple(r)[:2] for r in src.read_tweets(spark, path, missing=["\0"]).orderBy("id").collect()] == want
+    assert src.read_tweets(spark, write(tmp_path / "head.csv", "text,n\n")).collect() == []
+
+
+def test_header_has_to_agree_with_a_given_schema(spark, tmp_path):
+    path = write(tmp_path / "x.csv", 'text,n\n"a\nb",1\n')
+    read = src.read_tweets(spark, path, schema="text string, n int")
+    assert [(r["text"], r["n"]) for r in read.collect()] == [("a\nb", 1)]
+    with pytest.raises(Exception, match="header"):
+        src.read_tweets(spark, path, schema="text string, m int").collect()
+
+
+def test_no_text_of_records_crosses_an_exchange(spark, tmp_path):
+    from test_scale import exchanged
+
+    rows = src.read_id_value_lines(spark, write(tmp_path / "t.txt", CASE))
+    assert "value" not in exchanged(rows)
+    many = "".join(f"{i % 7}\nvalue {i}\n" for i in range(100))
+    path = write(tmp_path / "many.txt", many)
+    assert {r["id"]: r["value"] for r in src.read_id_value_lines(spark, path).collect()} == parse(many)
+
+
+def test_many_repeated_ids_take_the_shuffle(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(idvalue, "REPEATED", 2)
+    many = "".join(f"{i % 7}\nvalue {i}\n" for i in range(100)) + "9\nonce\n"
+    rows = src.read_id_value_lines(spark, write(tmp_path / "many.txt", many))
+    assert {r["id"]: r["value"] for r in rows.collect()} == parse(many)

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from textprep.functions.classes import SPACE
+from textprep.operators.joins import spread_lookup
+from textprep.session import pin_small, stable
+from textprep.sources.splits import in_file, last_where, runs, split_lines
+
+REPEATED = 1_000_000  # repeated ids that are broadcast; more are looked up by a shuffle
 
 
 @cache
@@ -21,6 +28,53 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+def _named(lines: DataFrame, carry: tuple[str, ...], last: bool) -> DataFrame:
+    """The value lines with the id that stands before them in their split, or null.
+
+    ``number`` counts the lines of the split. With ``last`` one row more for every split: its
+    last id under the number -1. Only the columns in ``carry`` go along.
+    """
+    kinds = {c: lines.schema[c].dataType.simpleString() for c in carry}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, number, current = None, 0, None
+        empty: list = [None] * len(carry)
+
+        def ended() -> pa.RecordBatch:
+            row = dict(zip(carry, empty)) | {"path": held}
+            arrays = [pa.array([split[0]]), pa.array([split[1]]), pa.array([-1]), pa.array([current], pa.string())]
+            arrays += [pa.array([row[c]], pa.string() if kinds[c] == "string" else pa.bool_()) for c in carry]
+            return pa.RecordBatch.from_arrays(arrays, ["file", "block", "number", "id", *carry])
+
+        held = None
+        for batch in batches:
+            for own, low, high in runs(batch):
+                if own != split:
+                    if split is not None and last:
+                        yield ended()
+                    split, number, current = own, 0, None
+                part = batch.slice(low, high - low)
+                names = part.column("name")
+                is_id = names.is_valid().to_numpy(zero_copy_only=False)
+                at = last_where(is_id)
+                ids = names.take(pa.array(np.maximum(at, 0), mask=at < 0)).cast(pa.string())
+                if current is not None:
+                    ids = ids.fill_null(current)
+                values = pa.array(~is_id)
+                numbers = pa.array(number + np.arange(len(is_id)))
+                chosen = [part.column("file"), part.column("block"), numbers, ids, *(part.column(c) for c in carry)]
+                yield pa.RecordBatch.from_arrays(
+                    [c.filter(values) for c in chosen], ["file", "block", "number", "id", *carry]
+                )
+                number, current = number + len(is_id), ids[-1].as_py()
+                held = part.column("path")[0].as_py() if "path" in carry else None
+        if split is not None and last:
+            yield ended()
+
+    fields = ", ".join(f"{c} {k}" for c, k in kinds.items())
+    return lines.mapInArrow(run, f"file bigint, block bigint, number bigint, id string, {fields}")
+
+
 def read_id_value_lines(
     spark: SparkSession, path: str | Sequence[str], skip_blank: bool = True
 ) -> DataFrame:
@@ -28,44 +82,45 @@ def read_id_value_lines(
 
     ``skip_blank=False`` lets a blank line overwrite the value before it.
 
-    Lines are read as ordinary splits. Inside a split the current id is carried
-    forward by a window; only the last id of each split crosses to the next ones,
-    through a table of one row per split. A single huge file thus stays parallel.
+    Lines are read as ordinary splits, twice. First without their text: every value line gets
+    the id before it, one row a split carries the last id over to the next splits, and ids that
+    come more than once are found with the place of their last value. Then with their text:
+    each task names its own lines and drops what is overwritten. Only ids and places cross an
+    exchange, as long as the repeated ids are few enough to be broadcast.
     """
-    lines = (
-        spark.read.text(path if isinstance(path, str) else list(path))
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-            _strip(F.col("value")).alias("value"),
-        )
-        .withColumn("is_id", F.col("value").rlike(f"^[{_digits()}]+$"))
+    text = _strip(F.col("value"))
+    lines = split_lines(spark, path).withColumn("value", text)
+    lines = lines.withColumn("name", F.when(F.col("value").rlike(f"^[{_digits()}]+$"), F.col("value")))
+    blank = (F.col("value") == "").alias("blank")
+    found = stable(_named(lines.select("path", "file", "block", "name", blank), ("path", "blank"), True))
+    splits = (
+        found.filter("number = -1")
+        .withColumn("carried", F.last("id", ignorenulls=True).over(in_file()))
+        .withColumn("split", F.row_number().over(Window.orderBy("path", "block")))
+        .select("file", "block", "split", "carried")
     )
-    last_ids = (
-        lines.groupBy("file", "block")
-        .agg(F.max_by(F.when(F.col("is_id"), F.col("value")),
-                      F.when(F.col("is_id"), F.col("line"))).alias("last_id"))
-        .withColumn(
-            "carried",
-            F.last("last_id", ignorenulls=True).over(
-                Window.partitionBy("file")
-                .orderBy("block")
-                .rowsBetween(Window.unboundedPreceding, -1)
-            ),
-        )
-        .select("file", "block", "carried")
-    )
-    inside = Window.partitionBy("file", "block").orderBy("line")
-    current = F.last(F.when(F.col("is_id"), F.col("value")), ignorenulls=True).over(inside)
-    values = (
-        lines.withColumn("current", current)
-        .filter(~F.col("is_id"))
-        .join(last_ids, ["file", "block"], "left")
-        .withColumn("id", F.coalesce("current", "carried"))
-        .filter(F.col("id").isNotNull())
+    splits = F.broadcast(stable(splits))  # one row a split
+
+    def completed(rows: DataFrame) -> DataFrame:
+        rows = rows.join(splits, ["file", "block"])
+        rows = rows.withColumn("id", F.coalesce("id", "carried")).filter("id is not null")
+        return rows.drop("file", "block", "carried")
+
+    values = completed(found.filter("number >= 0"))
+    if skip_blank:
+        values = values.filter(~F.col("blank"))
+    places = values.groupBy("id").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.struct("split", "number")).alias("last")
     )
+    repeated = stable(places.filter("n > 1"))
+    texts = completed(_named(lines.select("file", "block", "name", "value"), ("value",), False))
     if skip_blank:
-        values = values.filter(F.col("value") != "")
-    place = F.struct("file", "block", "line")
-    return values.groupBy("id").agg(F.max_by("value", place).alias("value"))
+        texts = texts.filter(F.col("value") != "")
+    last = repeated.select("id", "last")
+    small = pin_small(last, REPEATED)
+    if small is not last:
+        texts = texts.join(small, "id", "left")
+    else:
+        texts = spread_lookup(texts, repeated, "id", ["last"], [F.desc("n")])
+    here = F.struct("split", "number")
+    return texts.filter(F.col("last").isNull() | (F.col("last") == here)).select("id", "value")

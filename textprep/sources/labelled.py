@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from textprep.sources.quoted import read_quoted
+
 # Optional columns of a tweet export, none of them used further on.
 PROFILE_COLUMNS = (
     "username", "acctdesc", "location", "following", "followers", "totaltweets",
@@ -41,9 +43,9 @@ def read_tweets(
 ) -> DataFrame:
     """CSV with a header row; every column a string unless ``schema`` says otherwise.
 
-    ``multiline`` allows line breaks inside quotes, but then a file is read by one
-    task; pass ``False`` for exports without such breaks and large files split.
-    ``id`` numbers the rows in reading order within this read.
+    ``multiline`` allows line breaks inside quotes, at the price of reading the lines twice
+    (:func:`read_quoted`); pass ``False`` for exports without such breaks. Either way a large
+    file is read by many tasks. ``id`` numbers the rows in reading order within this read.
     """
     reader = (
         spark.read.option("header", True)
@@ -54,6 +56,10 @@ def read_tweets(
     if schema is not None:
         reader = reader.schema(schema).option("enforceSchema", False)
     df = reader.csv(path if isinstance(path, str) else list(path))
+    number = F.monotonically_increasing_id()
+    if multiline and df.columns:
+        # Spark's reader has told the names; it would read each file by one task
+        df, number = read_quoted(spark, path, df.schema, schema is not None), F.col("_reading_order")
     strings = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
     df = df.select(
         *[
@@ -63,7 +69,9 @@ def read_tweets(
             for c in df.columns
         ]
     )
-    return df if "id" in df.columns else df.withColumn("id", F.monotonically_increasing_id())
+    if "id" not in df.columns:
+        df = df.withColumn("id", number)
+    return df.drop("_reading_order")
 
 
 def union_labelled(sources: Sequence[tuple[DataFrame, int | str]]) -> DataFrame:
