@@ -20,7 +20,9 @@ from textprep.functions import LATIN  # noqa: E402
 from textprep.models import (  # noqa: E402
     Vocabulary,
     best_parameters,
+    cooccurrence_vectors,
     mean_vectors,
+    sample_rows,
     score_batches,
     weighted_logistic,
 )
@@ -906,7 +908,6 @@ def positive_metrics(spark: SparkSession, sf: str) -> DataFrame:
 # ---- models: the metric on unseen rows has to reach a floor -----------------------
 
 FLOOR = 0.95  # balanced accuracy; a constant guess reaches 0.5
-SOLVER_ROUNDS = 30  # bound of the solver's rounds where many machines are fitted
 
 
 def by_language(spark: SparkSession, sf: str) -> DataFrame:
@@ -957,7 +958,7 @@ def svm_probability(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     train, test = train_and_test(spark, sf)
-    model = classical.svm_with_probability(maxIter=SOLVER_ROUNDS).fit(train)
+    model = classical.svm_with_probability().fit(train)
     said = model.transform(test).select(
         "id", "label",
         (vector_to_array("probability")[1] > 0.5).cast("int").alias("prediction"),
@@ -973,7 +974,7 @@ def svm_probability(spark: SparkSession, sf: str) -> DataFrame:
 def grid_search(spark: SparkSession, sf: str) -> DataFrame:
     """The best model of a search over ``C``."""
     train, test = train_and_test(spark, sf)
-    pipeline, maps = classical.svm(maxIter=SOLVER_ROUNDS)
+    pipeline, maps = classical.svm()
     return floor_row(train, test, classical.run_search(pipeline, maps, train).bestModel)
 
 
@@ -995,27 +996,58 @@ def model_saved(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def forest_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Every combination of the forest's grid, over a bounded sample of the training rows."""
+    train, _ = train_and_test(spark, sf)
+    sample = stable(sample_rows(train))
+    n = sample.count()
+    found = classical.run_forest_search(sample)
+    rows_out = [
+        (r["numTrees"], r["minInstancesPerNode"], r["featureSubsetStrategy"], n, r["score"] >= FLOOR)
+        for r in found
+    ]
+    return spark.createDataFrame(
+        rows_out, "n_trees int, min_rows int, features string, n_train bigint, floor_met boolean"
+    )
+
+
 @query
 def vector_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean word vectors and a weighted sigmoid unit; report on the test part."""
-    data = split_texts(spark, sf)
+    """Mean word vectors of all documents and a weighted sigmoid unit."""
+    data = sampling.stratified_split(by_language(spark, sf), 0.2, 42)
     features = mean_vectors(
         data, fn.sequence_tokens("text"), vectors(spark, sf), ["id", "label", "split"], 64,
         20_000,
     )
     features = stable(features, "id")
-    model = weighted_logistic(regParam=0.01).fit(features.filter("split = 'train'"))
-    said = scored(model, features.filter("split = 'test'"))
-    return evaluate.classification_report(evaluate.confusion_cells(said))
+    train, test = features.filter("split = 'train'"), features.filter("split = 'test'")
+    return floor_row(train, test, weighted_logistic(regParam=0.01).fit(train))
+
+
+def prepared_words(spark: SparkSession, sf: str) -> DataFrame:
+    prepared_rows = sequence.prepare(by_language(spark, sf), sequence.GRU, order=order())
+    return stable(sampling.stratified_split(prepared_rows, 0.2, 42), "id")
 
 
 @query
 def word2vec_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    prepared_rows = sequence.prepare(by_language(spark, sf), sequence.GRU, order=order())
-    data = stable(sampling.stratified_split(prepared_rows, 0.2, 42), "id")
+    data = prepared_words(spark, sf)
     train, test = data.filter("split = 'train'"), data.filter("split = 'test'")
-    model = sequence.learned_vectors(sequence.GRU, dim=32).fit(train)
-    return floor_row(train, test, model)
+    return floor_row(train, test, sequence.learned_vectors(sequence.GRU).fit(train))
+
+
+@query
+def cooccurrence_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors learned from the training part by co-occurrence, averaged, and a sigmoid unit."""
+    data = prepared_words(spark, sf)
+    tokens = fn.sequence_tokens("clean_text")
+    learned = cooccurrence_vectors(data.filter("split = 'train'"), tokens, sequence.GRU.num_words)
+    # no size is stated, so the table of vectors is looked up where it lies
+    features = mean_vectors(data, tokens, stable(learned), ["id", "label", "split"], 96, 0)
+    features = stable(features, "id")
+    train, test = features.filter("split = 'train'"), features.filter("split = 'test'")
+    return floor_row(train, test, weighted_logistic().fit(train))
 
 
 @query

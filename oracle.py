@@ -502,8 +502,16 @@ FROM vocab w LEFT JOIN vec ON w.term = vec.term)""",
     q["model_saved"] = f"{latin}SELECT {n_test}, 0 AS n_differ FROM sp"
     raw_first = f"({first_of('told', 'text', 'id', 'id, text, label')})"
     letters = parts(script_letters("text", "keep"), raw_first, 0, "SELECT * FROM kept")
-    q["word2vec_classifier"] = f"""{letters}SELECT {n_train} AS n_train, {n_test},
+    for name in ("word2vec_classifier", "cooccurrence_classifier"):
+        q[name] = f"""{letters}SELECT {n_train} AS n_train, {n_test},
   TRUE AS floor_met FROM sp"""
+    q["vector_classifier"] = f"""{with_(told_all, split_ctes('told', '0.2', 42))}
+SELECT {n_train} AS n_train, {n_test}, TRUE AS floor_met FROM sp"""
+    # the sample keeps the classes' shares of at most 2,000 rows of the training part
+    q["forest_search"] = f"""{latin.rstrip()}, sample AS (
+  SELECT least(count(*), 2000)::BIGINT AS n FROM sp WHERE split = 'train')
+SELECT n_trees, min_rows, features, n AS n_train, TRUE AS floor_met FROM sample,
+  (VALUES (100), (200)) a(n_trees), (VALUES (5), (10)) b(min_rows), (VALUES ('sqrt'), ('0.5')) c(features)"""
     q["vector_dimension"] = """SELECT min(len(embedding))::BIGINT AS min_dim,
   max(len(embedding))::BIGINT AS max_dim FROM embeddings"""
     q["vector_means"] = with_(

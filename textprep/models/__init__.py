@@ -6,6 +6,7 @@ from textprep.models.classifiers import (
     perceptron,
     weighted_logistic,
 )
+from textprep.models.cooccurrence import cooccurrence_vectors
 from textprep.models.search import (
     FOREST_GRID,
     SVM_GRID,
@@ -13,7 +14,9 @@ from textprep.models.search import (
     SharedFeatures,
     best_parameters,
     grid,
+    sample_rows,
     search,
+    search_forests,
 )
 from textprep.models.stages import (
     Chi2Selector,

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 from textprep.functions.cleaners import script_strict
 from textprep.functions.scalars import as_text
 from textprep.models.classifiers import MarginSVC, PlattSVC, balanced_forest
-from textprep.models.search import FOREST_GRID, SVM_GRID, SharedFeatures, grid, search
+from textprep.models.search import (
+    FOREST_GRID, SVM_GRID, SharedFeatures, grid, search, search_forests,
+)
 from textprep.models.stages import Chi2Selector, TfidfVectors, WordTerms
 from textprep.operators.dedup import Order, keep_first
 from textprep.operators.evaluate import accuracy_by_split, confusion_cells
@@ -82,8 +84,8 @@ def svm_with_probability(
 def forest(
     features: TermFeatures = FOREST_FEATURES, marks: str = "keep", values=None, **params
 ):
-    """``(pipeline, parameter maps)`` of the random forest."""
-    weighted = balanced_forest(**params)
+    """``(pipeline, parameter maps)`` of the random forest, as deep as Spark grows them."""
+    weighted = balanced_forest(**{"maxDepth": 30, **params})
     stages = [*feature_stages(features, marks=marks), weighted]
     maps = grid(weighted.classifier, FOREST_GRID if values is None else values)
     return SharedFeatures(stages=stages), maps
@@ -99,6 +101,14 @@ def evaluate(model: PipelineModel, train: DataFrame, test: DataFrame):
     return accuracy_by_split(scored[0].union(scored[1])), confusion_cells(scored[1])
 
 
+def run_forest_search(
+    train: DataFrame, features: TermFeatures = FOREST_FEATURES, marks: str = "keep", **options
+) -> list[dict]:
+    """The published forest grid on rows that carry folds, see :func:`search_forests`; bound the
+    rows with :func:`sample_rows` first."""
+    return search_forests(feature_stages(features, marks=marks), train, **options)
+
+
 def run_search(pipeline: Estimator, maps: list, train: DataFrame, folds: int = 5, **options):
     """Search on rows that carry folds."""
     return search(pipeline, maps, train, folds=folds, **options)
