@@ -437,3 +437,73 @@ def test_toxicity_sample_is_bounded_in_rows_and_bytes(spark, monkeypatch):
 def test_sql_of_chat_and_warc():
     for name in ("op4_chat_formatting", "op6_warc"):
         assert duckdb.extract_statements(SQL[name])
+
+
+def test_stages_keep_clashing_names(spark):
+    """Columns named like the operators' own, and names with dots, come through unchanged."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, 77, 5, "x", 3), (2, text + " more", 78, 6, "y", 4), (3, "other " * 30, 79, 7, "z", 5)]
+    docs = spark.createDataFrame(
+        rows, "doc_id long, text string, _join_id long, _join_digest long, `a.b` string, key int"
+    )
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert {(r["doc_id"], r["_join_id"], r["_join_digest"], r["a.b"]) for r in kept.collect()} == {(1, 77, 5, "x"), (3, 79, 7, "z")}
+    pieces = spark.createDataFrame(
+        [(i, 0, 1 + i % 9, 7, 8, 9, 10, "p") for i in [*range(50), *([4] * 30)]],
+        "doc_id long, piece int, length long, _salt int, offset int, first_sequence int, rank_from int, `a.b` string",
+    )
+    packed = packing.pack(pieces, 16)
+    assert packed.columns == [c for c in pieces.columns if c != "offset"] + ["sequence_id", "offset"]
+    got = packed.collect()
+    assert {(r["_salt"], r["first_sequence"], r["rank_from"], r["a.b"]) for r in got} == {(7, 9, 10, "p")}
+    spans = sorted((r["sequence_id"], r["offset"], r["length"]) for r in got)
+    ends = {}
+    for sequence, offset, length in spans:
+        assert offset == ends.get(sequence, 0)
+        ends[sequence] = offset + length
+    assert len(got) == 80 and max(ends.values()) <= 16
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 97])
+def test_tiles_hold_every_similar_pair(percent):
+    """Sets at the very edge of the threshold share a tile, whichever way they differ."""
+    import random
+
+    import numpy as np
+
+    drawn = random.Random(percent)
+    sets, pairs = [], []
+    for _ in range(300):
+        n = drawn.choice([1, 2, 3, 5, 9, 20, 45, 130, 700])
+        a = {drawn.getrandbits(63) - (1 << 62) for _ in range(n)}
+        common = set(drawn.sample(sorted(a), drawn.randrange(max(0, n - n * (100 - percent) // 100), n + 1)))
+        b = set(common)
+        while 100 * len(common) >= percent * len(a | b | {0}) and drawn.random() < 0.97:
+            b.add(drawn.getrandbits(63) - (1 << 62))
+        if 100 * len(a & b) >= percent * len(a | b):
+            pairs.append((len(sets), len(sets) + 1))
+            sets += [np.array(sorted(x), np.int64) for x in (a, b)]
+    place, tile = ngram_join.tiles_of(sets, percent)
+    held = {}
+    for i, t in zip(place.tolist(), tile.tolist()):
+        held.setdefault(i, set()).add(t)
+    assert len(pairs) > 100
+    for i, j in pairs:
+        assert np.array_equal(sets[i], sets[j]) or held.get(i, set()) & held.get(j, set())
+
+
+def test_signatures_bound_from_above():
+    import random
+
+    import numpy as np
+
+    drawn = random.Random(9)
+    for percent in (80, 90):
+        for n in (3, 40, 900):
+            a = np.array(sorted(drawn.getrandbits(63) for _ in range(n)), np.int64)
+            b = np.array(sorted([*a[n // 20 :].tolist(), *(drawn.getrandbits(63) for _ in range(n // 9))]), np.int64)
+            x, y = (np.frombuffer(ngram_join.signature(s, percent), np.uint64) for s in (a, b))
+            words = min(len(x), len(y))
+            unlike = np.bitwise_count(ngram_join.folded(x, words) ^ ngram_join.folded(y, words)).sum()
+            assert unlike <= len(set(a.tolist()) ^ set(b.tolist()))

@@ -1,18 +1,22 @@
 """Jaccard self-join of documents by word n-grams, and the classes that its links form.
 
-Documents of equal n-gram sets are one node. Two sets that are similar enough share one of
-the first n-grams of each in any common order (prefix filter); here frequent n-grams come
-last. All nodes that hold an n-gram among their first ones are a tile, ordered by size.
+Documents of equal n-gram sets are one node. Sizes fall into bands. Two sets that are similar
+enough differ in a few n-grams at most, and how few follows from the band of the smaller one.
+So each band deals n-grams by hash into more parts than that: some part is whole and equal in
+both sets. A tile is a band, a part, and the hash of what a set has in it; sets meet in tiles
+because a stretch of their n-grams agrees, not because they share a frequent one. A set goes to
+its own band's tiles, and to the band's below if that one's sets can be similar to it.
 
 First every node of a tile is compared with the tile's smallest node of a fitting size, which
 joins most of a group of copies at a cost in proportion to the tile. Then, only in tiles that
 hold nodes of different classes, all pairs across classes are compared, in blocks of bounded
-size. A comparison asks bitmaps of hashed n-grams first: bits of one that the other lacks
-bound the overlap from above. Pairs that pass are counted exactly on sorted arrays.
+size. A comparison asks signatures first, bitmaps of hashed n-grams: bits of one that the other
+lacks bound the overlap from above. Pairs that pass are counted exactly on sorted arrays.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,11 +28,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from textprep.llm.common import parallelism, ship, write_once
 from textprep.llm.components import components
 
-BITS_EACH = 4  # bits of a bitmap for each n-gram, at least; rounded up to a power of two
 BLOCK = 1024  # rows of a block in the comparison across classes
-SMALL = 16  # a tile of so many rows names its pairs without bitmaps
-HOT = 100_000  # frequent n-grams that are put last; the order changes cost, not results
-HOT_IN_BATCH = 8
+SHARE = 16  # the first round across classes looks at one tile of so many,
+SMALL = 4  # and names so few pairs a node and block
+WIDEST = 1.5  # largest size of a band against that of the band below
 BROADCAST_ROWS = 2_000_000
 
 
@@ -56,30 +59,108 @@ def set_key(ngrams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(ngrams.tobytes()) - (1 << 63)
 
 
-def bitmap(ngrams: np.ndarray) -> bytes:
-    """Bits of hashed n-grams, as many as suit the size of the set; see :func:`folded`."""
-    bits = max(512, 1 << (BITS_EACH * len(ngrams)).bit_length())
-    out = np.zeros(bits, np.uint8)
-    out[(ngrams.view(np.uint64) >> np.uint64(16)) & np.uint64(bits - 1)] = 1
-    return np.packbits(out).tobytes()
+def signature(ngrams: np.ndarray, percent: int) -> bytes:
+    """A bitmap of hashed n-grams: a bit is set if an odd number of them falls on it.
+
+    Bits in which two sets differ are n-grams that one of them lacks, or more of these, so
+    their count bounds the overlap from above, however full the bitmaps are. Eight bits for
+    each n-gram that similar sets may differ in keep most of these apart, so the bound is close.
+    """
+    differ = 2 * len(ngrams) * (100 - percent) // (100 + percent)
+    bits = max(64, 1 << (8 * differ).bit_length())
+    at = (ngrams.view(np.uint64) >> np.uint64(16)) & np.uint64(bits - 1)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
 def folded(bits: np.ndarray, words: int) -> np.ndarray:
-    """The bitmap that the same set has at a smaller size, in 64-bit words."""
+    """The signature that the same set has at a smaller size, in 64-bit words."""
     while len(bits) > words:
         half = len(bits) // 2
-        bits = bits[:half] | bits[half:]
+        bits = bits[:half] ^ bits[half:]
     return bits
 
 
-def first_ones(ngrams: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
-    """The n-grams that come first: all but the share that may differ, and one more."""
-    take = len(ngrams) - -(-percent * len(ngrams) // 100) + 1
-    if len(hot):
-        place = np.minimum(np.searchsorted(hot["ngram"], ngrams), len(hot) - 1)
-        rank = np.where(hot["ngram"][place] == ngrams, hot["rank"][place], 0)
-        ngrams = ngrams[np.argsort(rank, kind="stable")]
-    return ngrams[:take]
+def allowed(unlike: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets whose sizes add up to ``total`` can be similar with so many unlike bits."""
+    return (100 + percent) * unlike <= (100 - percent) * total
+
+
+def bands(largest: int, percent: int) -> np.ndarray:
+    """Bands for sets of up to ``largest`` n-grams: ``upto``, the largest size; ``reach``, the
+    largest size that can be similar to one of it; ``parts`` and ``spare``.
+
+    Similar sets of sizes n <= ``upto`` and m <= ``reach`` differ in at most
+    ``(100 - percent) / (100 + percent) * (n + m)`` n-grams. With ``spare + 1`` parts more than
+    that, they agree in more than ``spare`` whole parts, so in one that is not empty unless
+    both have more than ``spare`` empty parts; ``spare`` is what the smallest set of the band
+    hardly ever exceeds.
+    """
+    rows, upto = [], 0
+    while not rows or upto < largest:
+        low, upto = upto + 1, max(upto + 1, int(upto * WIDEST))
+        reach = 100 * upto // percent
+        differ = (100 - percent) * (upto + reach) // (100 + percent)
+        spare = 0
+        while spare < 4 * differ:
+            empty = (differ + 1 + spare) * math.exp(-low / (differ + 1 + spare))
+            if spare >= empty + 3 * math.sqrt(empty):
+                break
+            spare += 1
+        # sets that may not differ are equal, so one node
+        rows.append((upto, reach, differ + 1 + spare if differ else 0, spare))
+    return np.array(rows, [("upto", "i8"), ("reach", "i8"), ("parts", "i8"), ("spare", "i8")])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Bits of 64-bit numbers spread over all places (the finaliser of a well-known hash)."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def tiles_of(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """``place, tile``: the tiles of every set, by its place in the list.
+
+    A set with more empty parts than its band spares also goes by its first n-grams, in the
+    order of their hashes: similar sets share one of those (prefix filter). The exact way for
+    the few sets that the parts may miss.
+    """
+    sizes = np.array([len(x) for x in sets])
+    known = bands(int(sizes.max(initial=1)), percent)
+    own = np.searchsorted(known["upto"], sizes)
+    places, tiles = [], []
+    for back in range(len(known)):
+        band = own - back
+        going = (sizes > 0) & (band >= 0) & (sizes <= known["reach"][band])
+        if not going.any():
+            break
+        chosen = np.flatnonzero(going & (known["parts"][band] > 0))
+        if not len(chosen):
+            continue
+        band, size = band[chosen], sizes[chosen]
+        row = np.repeat(np.arange(len(chosen)), size)
+        ngram = np.concatenate([sets[i] for i in chosen.tolist()]).view(np.uint64) ^ np.uint64(1 << 63)
+        # n-grams are sorted, so a range of hashes is a run
+        part = ((ngram >> np.uint64(32)) * known["parts"][band][row].astype(np.uint64)) >> np.uint64(32)
+        cuts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (part[1:] != part[:-1])]))
+        with np.errstate(over="ignore"):
+            content = np.add.reduceat(_mixed(ngram), cuts)
+            name = band[row[cuts]].astype(np.uint64) * np.uint64(1 << 40) + part[cuts]
+            tile = _mixed(content + _mixed(name))
+        places.append(chosen[row[cuts]])
+        tiles.append(tile.view(np.int64))
+        filled = np.bincount(row[cuts], minlength=len(chosen))
+        for i in np.flatnonzero(known["parts"][band] - filled > known["spare"][band]).tolist():
+            first = sets[chosen[i]].view(np.uint64)
+            first = first[: size[i] - -(-percent * size[i] // 100) + 1]
+            with np.errstate(over="ignore"):
+                name = _mixed(np.array([(int(band[i]) + 1) << 41], np.uint64))
+                tiles.append(_mixed(first + name).view(np.int64))
+            places.append(np.full(len(first), chosen[i]))
+    if not places:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(places), np.concatenate(tiles)
 
 
 def _batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
@@ -97,100 +178,75 @@ def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
 
 
-def _surveyed(texts: DataFrame, width: int) -> DataFrame:
-    """Rows of documents (``doc_id, digest, key, n, bitmap``) and, apart from them, of n-grams
-    that several documents of a batch hold (``ngram, n``)."""
-    ship(texts.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [ngram_set(t, width) for t in batch.column("text").to_pylist()]
-            keys = [set_key(s) if len(s) else None for s in sets]
-            different = {k: s for k, s in zip(keys, sets) if k is not None}
-            some = np.concatenate([np.empty(0, np.int64), *different.values()])
-            ngrams, counts = np.unique(some, return_counts=True)
-            often = counts >= HOT_IN_BATCH
-            ngrams, counts = ngrams[often], counts[often]
-            blank, none = [None] * len(ngrams), [None] * len(sets)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(batch.column("doc_id").to_pylist() + blank, pa.int64()),
-                    pa.array(batch.column("digest").to_pylist() + blank, pa.int64()),
-                    pa.array(keys + blank, pa.int64()),
-                    pa.array([len(s) for s in sets] + counts.tolist(), pa.int64()),
-                    pa.array(none + ngrams.tolist(), pa.int64()),
-                    pa.array([bitmap(s) for s in sets] + blank, pa.binary()),
-                ],
-                ["doc_id", "digest", "key", "n", "ngram", "bitmap"],
-            )
-
-    return texts.mapInArrow(run, "doc_id long, digest long, key long, n long, ngram long, bitmap binary")
-
-
-def _hot(surveyed: DataFrame) -> np.ndarray:
-    """The most frequent n-grams, rarer ones with lower ranks; at most :data:`HOT`."""
-    rows = (
-        surveyed.filter("ngram is not null")
-        .groupBy("ngram")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "ngram")
-        .limit(HOT)
-        .toPandas()
-    )
-    out = np.zeros(len(rows), dtype=[("ngram", np.int64), ("rank", np.int64)])
-    out["ngram"] = rows["ngram"].to_numpy()
-    out["rank"] = np.arange(len(rows), 0, -1)
-    return np.sort(out, order="ngram")
-
-
-def _postings(texts: DataFrame, width: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """``ngram, key, n, pos`` of the first n-grams of every set, equal sets of a batch once."""
-    shared = texts.sparkSession.sparkContext.broadcast(hot)
+def _surveyed(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``doc_id, digest, key, n, signature`` of every row; no key without n-grams."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = (ngram_set(t, width) for t in batch.column("text").to_pylist())
-        sized = {set_key(s): (len(s), first_ones(s, shared.value, percent)) for s in sets if len(s)}
-        counts = [len(first) for _, first in sized.values()]
-        firsts = [first for _, first in sized.values()]
+        sets = [ngram_set(t, width) for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate([np.empty(0, np.int64), *firsts])),
-                pa.array(np.repeat(np.array(list(sized), np.int64), counts)),
-                pa.array(np.repeat(np.array([n for n, _ in sized.values()], np.int64), counts)),
-                pa.array(np.concatenate([np.empty(0, np.int64), *map(np.arange, counts)]).astype(np.int64)),
+                batch.column("doc_id"), batch.column("digest"),
+                pa.array([set_key(x) if len(x) else None for x in sets], pa.int64()),
+                pa.array([len(x) for x in sets], pa.int64()),
+                pa.array([signature(x, percent) for x in sets], pa.binary()),
             ],
-            ["ngram", "key", "n", "pos"],
-        )
+            ["doc_id", "digest", "key", "n", "signature"],
+        )
 
-    return _batches(texts, step, "ngram long, key long, n long, pos long")
+    return _batches(texts, step, "doc_id long, digest long, key long, n long, signature binary")
+
+
+def _postings(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """``tile, key, n`` of every set, equal sets of a task once."""
+    ship(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2_000):
+                fresh: dict[int, np.ndarray] = {}
+                for text in batch.slice(start, 2_000).column("text").to_pylist():
+                    ngrams = ngram_set(text, width)
+                    key = set_key(ngrams)
+                    if len(ngrams) and key not in seen:
+                        fresh[key] = ngrams
+                        seen.add(key)
+                place, tile = tiles_of(list(fresh.values()), percent)
+                keys = np.array(list(fresh), np.int64)
+                sizes = np.array([len(x) for x in fresh.values()], np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(tile), pa.array(keys[place]), pa.array(sizes[place])], ["tile", "key", "n"]
+                )
+
+    return texts.select("text").mapInArrow(run, "tile long, key long, n long")
 
 
 def _tiles(postings: DataFrame, percent: int) -> DataFrame:
-    """Postings of n-grams that several nodes hold, with the node to compare with first.
+    """Postings of tiles that several nodes are in, with the node to compare with first.
 
-    Reads rows sorted by n-gram and size as a stream, so a tile of any size needs no memory.
+    Reads rows sorted by tile and size as a stream, so a tile of any size needs no memory.
     ``other`` is the smallest node of the tile within reach of sizes, null for itself.
     """
     spark = postings.sparkSession
-    ordered = postings.repartition(parallelism(spark), "ngram").sortWithinPartitions("ngram", "n", "key")
-    names = ["ngram", "key", "n", "pos"]
+    ordered = postings.repartition(parallelism(spark), "tile").sortWithinPartitions("tile", "n", "key")
+    names = ["tile", "key", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((0, 4), np.int64)  # the last row, and the one before it
+        held = np.empty((0, 3), np.int64)  # the last row, and the one before it
         pivot = (None, 0, 0)
 
         def told(rows: np.ndarray, mine: np.ndarray) -> pa.RecordBatch:
             nonlocal pivot
             other, other_n = [], []
-            for ngram, key, n, _ in rows[mine].tolist():
-                if pivot[0] != ngram or 100 * pivot[2] < percent * n:
-                    pivot = (ngram, key, n)
+            for tile, key, n in rows[mine].tolist():
+                if pivot[0] != tile or 100 * pivot[2] < percent * n:
+                    pivot = (tile, key, n)
                     other.append(None)
                     other_n.append(None)
                 else:
                     other.append(pivot[1])
                     other_n.append(pivot[2])
-            arrays = [pa.array(rows[mine][:, i]) for i in range(4)]
+            arrays = [pa.array(rows[mine][:, i]) for i in range(3)]
             arrays += [pa.array(other, pa.int64()), pa.array(other_n, pa.int64())]
             return pa.RecordBatch.from_arrays(arrays, [*names, "other", "other_n"])
 
@@ -211,17 +267,7 @@ def _tiles(postings: DataFrame, percent: int) -> DataFrame:
         if len(held) == 2 and held[0, 0] == held[1, 0]:
             yield told(held, np.array([False, True]))
 
-    return ordered.mapInArrow(
-        run, "ngram long, key long, n long, pos long, other long, other_n long"
-    )
-
-
-def _within(left: np.ndarray, right: np.ndarray, size: int, other: np.ndarray, percent: int) -> np.ndarray:
-    """Whether bitmaps of one size allow enough overlap of ``left`` with rows of ``right``."""
-    only_left = np.bitwise_count(left & ~right).sum(axis=-1, dtype=np.int64)
-    only_right = np.bitwise_count(right & ~left).sum(axis=-1, dtype=np.int64)
-    most = np.minimum(size - only_left, other - only_right)
-    return 100 * most >= percent * (size + other - most)
+    return ordered.mapInArrow(run, "tile long, key long, n long, other long, other_n long")
 
 
 def _words(data: bytes) -> np.ndarray:
@@ -231,19 +277,20 @@ def _words(data: bytes) -> np.ndarray:
 def _linked(
     pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int
 ) -> DataFrame:
-    """The pairs ``a, b`` that are similar enough: bitmaps first, then exact overlap.
+    """The pairs ``a, b`` that are similar enough: signatures first, then exact overlap.
 
-    Only nodes of pairs that the bitmaps allow have their n-grams made again from the text.
+    Only nodes of pairs that the signatures allow have their n-grams made again from the text.
     """
     ship(pairs.sparkSession)
 
     @F.pandas_udf("boolean")
     def possible(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-        def one(x: bytes, y: bytes, size: int, other: int) -> bool:
+        def one(x: bytes, y: bytes, total: int) -> bool:
             words = min(len(x), len(y)) // 8
-            return _within(folded(_words(x), words), folded(_words(y), words), size, other, percent)
+            unlike = np.bitwise_count(folded(_words(x), words) ^ folded(_words(y), words)).sum(dtype=np.int64)
+            return bool(allowed(unlike, total, percent))
 
-        return pd.Series([bool(one(*row)) for row in zip(a, b, n, m)], dtype=bool)
+        return pd.Series([one(*row) for row in zip(a, b, n + m)], dtype=bool)
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -259,88 +306,105 @@ def _linked(
             rows = rows.join(side, end)
         return rows
 
-    mapped = with_ends(pairs, nodes, "bitmap").filter(possible("a_bitmap", "b_bitmap", "n", "m"))
+    mapped = with_ends(pairs, nodes, "signature").filter(possible("a_signature", "b_signature", "n", "m"))
     mapped = write_once(mapped.select("a", "b").distinct())
     ends = mapped.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     exact = with_ends(mapped, _sets(texts, nodes, ends, width), "ngrams")
     return exact.filter(similar("a_ngrams", "b_ngrams")).select("a", "b").distinct()
 
 
-def _across(tiles: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b, n, m`` of nodes of different classes in one tile that sizes, places and
-    bitmaps allow. A tile is cut into blocks, and pairs of blocks are compared. A tile of two
-    has been compared already. Small tiles leave the bitmaps to those who test the pairs,
-    which are far fewer than the rows of tiles: a pair shares many n-grams."""
+def _across(
+    tiles: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int, share: int, most: int
+) -> DataFrame:
+    """Pairs ``a, b, n, m`` of nodes of different classes in one tile that sizes and signatures
+    allow; of every ``share``-th tile, and of each node the ``most`` likeliest. A node that has
+    more adds a row with null for ``b``.
+
+    Only tiles of several classes are looked at. A tile is cut into blocks, and pairs of blocks
+    are compared: each node outside their largest class with the nodes of other classes.
+    """
     spark = tiles.sparkSession
     known = classes.select(F.col("node").alias("key"), "component")
     placed = write_once(
-        tiles.select("ngram", "key", "n", "pos")
+        tiles.filter(F.pmod(F.xxhash64("tile"), F.lit(share)) == 0)
+        .select("tile", "key", "n")
         .join(known, "key", "left")
         .withColumn("component", F.coalesce("component", "key"))
     )
     mixed = (
-        placed.groupBy("ngram")
+        placed.groupBy("tile")
         .agg(
             F.min("component").alias("low"), F.max("component").alias("high"),
-            F.count(F.lit(1)).alias("rows"),
             F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"),
         )
-        .filter("low < high and rows > 2")
-        .select("ngram", "blocks", (F.col("rows") > SMALL).alias("large"))
+        .filter("low < high")
+        .select("tile", "blocks")
     )
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     others = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda i: F.struct(F.least(i, own).alias("i"), F.greatest(i, own).alias("j")),
     )
-    several = placed.join(mixed, "ngram")
-    large = several.filter("large").join(nodes.select("key", "bitmap"), "key")
-    small = several.filter("not large").withColumn("bitmap", F.lit(None).cast("binary"))
     rows = (
-        large.unionByName(small)
-        .select("ngram", "key", "n", "pos", "component", "bitmap", own.alias("own"), F.explode(others).alias("t"))
-        .select("ngram", "t.i", "t.j", "own", "key", "n", "pos", "component", "bitmap")
-        .repartition(parallelism(spark), "ngram", "i", "j")
-        .sortWithinPartitions("ngram", "i", "j", "n", "key")
+        placed.join(mixed, "tile")
+        .join(nodes.select("key", "signature"), "key")
+        .select("tile", "key", "n", "component", "signature", own.alias("own"), F.explode(others).alias("t"))
+        .select("tile", "t.i", "t.j", "own", "key", "n", "component", "signature")
+        .repartition(parallelism(spark), "tile", "i", "j")
+        .sortWithinPartitions("tile", "i", "j", "n", "key")
     )
     ship(spark)
-    names = ["ngram", "i", "j", "own", "key", "n", "pos", "component"]
-
-    def compared(tile: np.ndarray, maps: list[np.ndarray | None]) -> Iterator[tuple[np.ndarray, ...]]:
-        i, j, own, key, n, pos, component = tile.T[1:]
-        for at in range(len(tile) - 1):
-            upto = np.searchsorted(n, 100 * n[at] // percent, side="right")
-            rest = slice(at + 1, max(upto, at + 1))
-            allowed = (component[rest] != component[at]) & (key[rest] != key[at])
+    names = ["tile", "i", "j", "own", "key", "n", "component"]
+
+    def compared(tile: np.ndarray, maps: list[np.ndarray]) -> Iterator[tuple[list, list, list, list]]:
+        i, j, own, key, n, component = tile.T[1:]
+        found, counts = np.unique(component, return_counts=True)
+        outside = component != found[counts.argmax()]
+        low = np.searchsorted(n, -(-percent * n // 100))
+        high = np.searchsorted(n, 100 * n // percent, side="right")
+        at_size: dict[int, np.ndarray] = {}  # all signatures at a size, where it is enough
+        words = np.array([len(m) for m in maps])
+        for at in np.flatnonzero(outside).tolist():
+            to = np.arange(low[at], high[at])
+            # of two outside the largest class, the later one asks
+            to = to[(component[to] != component[at]) & (~outside[to] | (to < at))]
             if i[at] != j[at]:
-                allowed &= own[rest] != own[at]
-            most = np.minimum(n[at] - pos[at], n[rest] - pos[rest])
-            allowed &= 100 * most >= percent * (n[at] + n[rest] - most)
-            to = np.flatnonzero(allowed) + at + 1
-            if len(to) and maps[at] is not None:
-                # the smallest set of the pairs has the smallest bitmap
-                there = np.stack([folded(maps[k], len(maps[at])) for k in to])
-                to = to[_within(maps[at], there, n[at], n[to], percent)]
-            if len(to):
-                yield np.full(len(to), key[at]), key[to], np.full(len(to), n[at]), n[to]
+                to = to[own[to] != own[at]]
+            if not len(to):
+                continue
+            size = int(min(words[at], words[to].min()))
+            if size not in at_size:
+                at_size[size] = np.stack([folded(m, size) if len(m) >= size else np.zeros(size, np.uint64) for m in maps])
+            there = at_size[size]
+            unlike = np.bitwise_count(there[to] ^ there[at]).sum(axis=1, dtype=np.int64)
+            fits = allowed(unlike, n[to] + n[at], percent)
+            to, unlike = to[fits], unlike[fits]
+            if len(to) > most:
+                yield [key[at]], [None], [n[at]], [0]
+                to = to[np.argsort(unlike, kind="stable")[:most]]
+            yield [key[at]] * len(to), key[to].tolist(), [n[at]] * len(to), n[to].tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: np.ndarray = np.empty((0, 8), np.int64)
-        held_maps: list[np.ndarray | None] = []
+        held: np.ndarray = np.empty((0, 7), np.int64)
+        held_maps: list[np.ndarray] = []
+        told_before: set[tuple[int, int | None]] = set()  # of this task
 
-        def told(rows: np.ndarray, maps: list[np.ndarray | None]) -> pa.RecordBatch:
+        def told(rows: np.ndarray, maps: list[np.ndarray]) -> pa.RecordBatch:
             cuts = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
             ends = [0, *cuts.tolist(), len(rows)]
-            found = [
-                x for i, j in zip(ends, ends[1:]) for x in compared(rows[i:j], maps[i:j])
-            ]
-            pairs = [np.concatenate([np.empty(0, np.int64), *c]) for c in zip(*found)] if found else [[]] * 4
-            table = pd.DataFrame(dict(zip("abnm", pairs)), dtype="int64").drop_duplicates()
-            return pa.RecordBatch.from_pandas(table, preserve_index=False)
+            fresh = []
+            for low, high in zip(ends, ends[1:]):
+                for found in compared(rows[low:high], maps[low:high]):
+                    for row in zip(*found):
+                        if row[:2] not in told_before:
+                            told_before.add(row[:2])
+                            fresh.append(row)
+            columns = list(zip(*fresh)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], list("abnm"))
 
         for batch in batches:
             rows = np.concatenate([held, np.stack(_columns(batch, *names), axis=1).astype(np.int64)])
-            maps = held_maps + [x and _words(x) for x in batch.column("bitmap").to_pylist()]
+            maps = held_maps + [_words(x) for x in batch.column("signature").to_pylist()]
             last = (rows[:, :3] == rows[-1, :3]).all(axis=1)
             begin = len(rows) - int(last.sum())  # the last tile may go on
             if begin:
@@ -349,7 +413,7 @@ def _across(tiles: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int
         if len(held):
             yield told(held, held_maps)
 
-    return rows.mapInArrow(run, "a long, b long, n long, m long").distinct()
+    return rows.mapInArrow(run, "a long, b long, n long, m long")
 
 
 def _sets(texts: DataFrame, nodes: DataFrame, keys: DataFrame, width: int) -> DataFrame:
@@ -382,46 +446,52 @@ def _sets(texts: DataFrame, nodes: DataFrame, keys: DataFrame, width: int) -> Da
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), _digest(text_col).alias("digest"),
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"), _digest(text_col).alias("digest"),
+        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
     )
 
 
 def _digest(text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
 
 
 def _classes(texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``doc_id, digest, key, n`` of every row; ``key, doc_id, digest, rows`` of every node, with
     the smallest id of its rows and the smallest digest of that id; ``key, component`` of the
     nodes that link."""
-    surveyed = write_once(_surveyed(texts, width))
-    rows = surveyed.filter("ngram is null")
+    rows = write_once(_surveyed(texts, width, percent))
     # a set is one node, whichever documents hold it
     nodes = write_once(
         rows.filter("doc_id is not null and key is not null")
         .groupBy("key")
         .agg(
-            F.min(F.struct("doc_id", "digest")).alias("of"), F.min("bitmap").alias("bitmap"),
+            F.min(F.struct("doc_id", "digest")).alias("of"), F.min("signature").alias("signature"),
             F.count(F.lit(1)).alias("rows"),
         )
-        .select("key", "of.doc_id", "of.digest", "bitmap", "rows")
+        .select("key", "of.doc_id", "of.digest", "signature", "rows")
     )
     tiles = write_once(
-        _tiles(_postings(texts.filter("doc_id is not null"), width, percent, _hot(surveyed)), percent)
+        _tiles(_postings(texts.filter("doc_id is not null"), width, percent), percent)
     )
     first = tiles.filter("other is not null").select(
         F.col("other").alias("a"), F.col("key").alias("b"), F.col("other_n").alias("n"), F.col("n").alias("m")
     )
     links = write_once(_linked(first.distinct(), nodes, texts, width, percent))
-    across = _across(tiles, components(links), nodes, percent)
-    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = across.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).join(
-        tested.withColumnsRenamed({"a": "low", "b": "high"}), ["low", "high"], "left_anti"
-    )
-    across = across.select("a", "b", "n", "m")
-    more = write_once(_linked(across, nodes, texts, width, percent))
-    return rows, nodes, components(links.unionAll(more)).withColumnRenamed("node", "key")
+    tested = write_once(first.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct())
+    # nodes of one group meet in many tiles, and one link is enough to join two classes: few
+    # tiles and few pairs a node first, and all that is left between classes in the end
+    share, most = SHARE, SMALL
+    while True:
+        found = write_once(_across(tiles, components(links), nodes, percent, share, most))
+        more = found.filter("b is not null").withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")})
+        more = more.dropDuplicates(["low", "high"]).join(tested, ["low", "high"], "left_anti")
+        more = write_once(more)
+        links = write_once(links.unionAll(_linked(more.select("a", "b", "n", "m"), nodes, texts, width, percent)))
+        if share == 1 and found.filter("b is null").isEmpty():
+            break
+        tested = write_once(tested.unionAll(more.select("low", "high")))
+        share, most = max(1, share // 4), 4 * most if share > 4 else 1 << 62
+    return rows, nodes, components(links).withColumnRenamed("node", "key")
 
 
 def _broadcast_if_small(df: DataFrame) -> DataFrame:
@@ -484,14 +554,18 @@ def one_of_each(
         .filter("not stays or rows > 1")
     )
     pair = ["_join_id", "_join_digest"]
-    named = docs.withColumns({"_join_id": F.col(id_col).cast("long"), "_join_digest": _digest(text_col)})
-    kept = named.join(_broadcast_if_small(told.select(*pair)), pair, "left_anti").select(*docs.columns)
+    # whole rows as one column, so that no name of theirs can clash
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    named = docs.select(
+        row, F.col(f"`{id_col}`").cast("long").alias("_join_id"), _digest(text_col).alias("_join_digest")
+    )
+    kept = named.join(_broadcast_if_small(told.select(*pair)), pair, "left_anti").select("row")
     repeated = told.filter("stays").select(*pair)
     if repeated.isEmpty():
-        return kept
+        return kept.select("row.*")
     again = (
         named.join(_broadcast_if_small(repeated), pair, "left_semi")
         .groupBy(*pair)
-        .agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+        .agg(F.min_by("row", F.xxhash64("row")).alias("row"))
     )
-    return kept.unionAll(again.select("row.*"))
+    return kept.unionAll(again.select("row")).select("row.*")

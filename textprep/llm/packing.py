@@ -124,15 +124,17 @@ def pack(pieces: DataFrame, capacity: int = 1024, order: tuple[str, ...] = ("doc
     """``pieces`` (with a ``length`` from 1 to ``capacity``) plus ``sequence_id, offset``.
 
     The places of a sequence are gapless from 0. Ranks within a length are counted per
-    salt of the ``order`` columns first, so a length that most pieces share is spread over
-    all tasks. Pieces equal in ``order`` take different slots; null keys are keys like
-    others. No rows give no rows.
+    salt first, which rows take in turn, so a length that most pieces share is spread over
+    all tasks, and so are pieces equal in ``order``: these take different slots; null keys are
+    keys like others. Columns named like the two new ones give way to them. No rows give no
+    rows.
     """
     spark = pieces.sparkSession
     # equal plans for equal inputs: twice read, hence written once
-    salted = write_once(
-        pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(max(8, parallelism(spark)))))
-    )
+    # whole rows as one column, so that no name of theirs can clash
+    row = F.struct(*(F.col(f"`{c}`") for c in pieces.columns)).alias("row")
+    turn = F.pmod(F.monotonically_increasing_id(), F.lit(max(8, parallelism(spark))))
+    salted = write_once(pieces.select(row, F.col("length").alias("length"), turn.alias("_salt")))
     cells = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(
         Window.unboundedPreceding, -1
@@ -146,7 +148,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, order: tuple[str, ...] = ("doc
         best_fit_plan(counts, capacity),
         "length long, rank_from long, rank_to long, first_sequence long, offset long",
     )
-    within = Window.partitionBy("length", "_salt").orderBy(*order)
+    within = Window.partitionBy("length", "_salt").orderBy(*(f"row.{c}" for c in order))
     ranked = (
         salted.withColumn("_row", F.row_number().over(within))
         .join(offsets, ["length", "_salt"])
@@ -158,8 +160,9 @@ def pack(pieces: DataFrame, capacity: int = 1024, order: tuple[str, ...] = ("doc
         & (F.col("_rank") >= F.col("rank_from"))
         & (F.col("_rank") < F.col("rank_to"))
     )
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     return ranked.join(F.broadcast(slots), taken).select(
-        *(ranked[c] for c in pieces.columns),
+        *(F.col("row").getField(c).alias(c) for c in kept),
         (F.col("first_sequence") + F.col("_rank") - F.col("rank_from")).alias("sequence_id"),
         F.col("offset"),
     )
