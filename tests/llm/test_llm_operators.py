@@ -507,3 +507,29 @@ def test_signatures_bound_from_above():
             words = min(len(x), len(y))
             unlike = np.bitwise_count(ngram_join.folded(x, words) ^ ngram_join.folded(y, words)).sum()
             assert unlike <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_records_are_rebuilt_and_checked(spark, tmp_path, monkeypatch):
+    """A payload that most records share, equal rows without id, revisits that are resolved."""
+    monkeypatch.setattr(warc, "SHARED", 7)
+    rows = [(i, f"u{i}", "<p>same</p>") for i in range(40)] + [(None, None, "<p>same</p>")] * 20 + [(99, "v", "é" * 50)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    folder = str(tmp_path / "archive")
+    warc.write_archive(frame, folder)
+    index = warc.read_index(spark, folder).collect()
+    assert Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in index) == Counter(
+        [(0, "response", None), (99, "response", None)] + [(i, "revisit", 0) for i in range(1, 40)] + [(None, "revisit", 0)] * 20
+    )
+    assert {r["payload_bytes"] for r in index} == {11, 100}
+    read = warc.read_records(spark, folder, resolve=True).collect()
+    assert len(read) == 61 and {bytes(r["payload"]) for r in read} == {b"<p>same</p>", ("é" * 50).encode()}
+    assert all(bytes(r["record"]).endswith(b"\r\n\r\n") == (r["type"] == "revisit") for r in read)
+    names = [bytes(r["record"]).split(b"Record-ID: ")[1].split(b"\r\n")[0] for r in read]
+    assert len(set(names)) == 61
+    broken = spark.read.parquet(f"{folder}/records").withColumn(
+        "header", F.regexp_replace("header", "Content-Length: 1", "Content-Length: 2")
+    )
+    broken.write.parquet(str(tmp_path / "other" / "records"))
+    spark.read.parquet(f"{folder}/payloads").write.parquet(str(tmp_path / "other" / "payloads"))
+    with pytest.raises(Exception, match="header differs"):
+        warc.read_index(spark, str(tmp_path / "other")).collect()

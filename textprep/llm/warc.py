@@ -8,8 +8,11 @@ reading joins the two and checks every payload against its digests.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from textprep.llm.common import attach, write_once
+
+SHARED = 1_000  # records that share one copy of a payload when they are put together
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 LINE = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -72,18 +75,15 @@ def write_archive(
         F.octet_length("payload").cast("long").alias("bytes"),
         base32_sha1(F.col("payload")).alias("sha1"),
     )
-    own = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url"))
-    numbered = small.withColumn("copy", own)
-    first = small.groupBy("digest").agg(
-        F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")
-    )
-    placed = numbered.join(first, "digest")
-    response = (F.col("bytes") < min_bytes) | (
-        F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("copy") == 1)
-    )
-
-    def urn(page_id: Column, copy: Column) -> Column:
-        name = F.md5(F.concat_ws("|", "digest", F.coalesce(page_id.cast("string"), F.lit("")), copy))
+    # a number a row tells equal rows apart; written, since two readers have to see the same
+    numbered = write_once(small.withColumn("copy", F.monotonically_increasing_id()))
+    order = F.struct(F.col("page_id").isNull(), "page_id", "url", "copy")
+    first = numbered.groupBy("digest").agg(F.min(order).alias("first"))
+    placed = numbered.join(first.select("digest", F.col("first.copy").alias("first_copy")), "digest")
+    response = (F.col("bytes") < min_bytes) | (F.col("copy") == F.col("first_copy"))
+
+    def urn(copy: Column) -> Column:
+        name = F.md5(F.concat_ws("|", "digest", copy.cast("string")))
         dashed = F.regexp_replace(name, "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
         return F.concat(F.lit("<urn:uuid:"), dashed, F.lit(">"))
 
@@ -97,11 +97,11 @@ def write_archive(
     header = F.concat(
         F.lit(f"WARC/1.1{LINE}"),
         _line("WARC-Type", F.col("type")),
-        _line("WARC-Record-ID", urn(F.col("page_id"), F.col("copy"))),
+        _line("WARC-Record-ID", urn(F.col("copy"))),
         _line("WARC-Target-URI", F.col("url")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         F.when(revisit, _line("WARC-Profile", F.lit(PROFILE))).otherwise(""),
-        F.when(revisit, _line("WARC-Refers-To", urn(F.col("first_id"), F.lit(1)))).otherwise(""),
+        F.when(revisit, _line("WARC-Refers-To", urn(F.col("first_copy")))).otherwise(""),
         _line("X-Page-Id", F.col("page_id")),
         F.lit(f"Content-Type: application/http; msgtype=response{LINE}"),
         _line("Content-Length", block), F.lit(LINE),
@@ -135,37 +135,56 @@ def _payloads(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("payload", F.when(same, F.col("payload")).otherwise(wrong))
 
 
-def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """``page_id, type, record``: the whole bytes of every record, without its closing empty
-    lines. A response is its header and payload; a revisit has no payload of its own."""
-    joined = _headers(spark, folder).join(_payloads(spark, folder), "digest")
-    payload = F.when(F.col("type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return joined.select(
-        "page_id", "type", F.concat(F.col("header").cast("binary"), payload).alias("record")
+def _rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """Every header with the payload of its digest, and ``record``, its bytes as they were.
+
+    The payload of a digest that many records name is repeated under several salts, a share
+    of the records each.
+    """
+    headers = _headers(spark, folder)
+    many = headers.groupBy("digest").agg(F.ceil(F.count(F.lit(1)) / SHARED).alias("salts"))
+    many = write_once(many.filter("salts > 1"))
+    salted = headers.withColumn("turn", F.monotonically_increasing_id())
+    salted = attach(salted, many, ["digest"]).withColumn(
+        "salt", F.pmod("turn", F.coalesce("salts", F.lit(1)))
     )
+    salts = F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)
+    payloads = attach(_payloads(spark, folder), many, ["digest"])
+    payloads = payloads.select("digest", "payload", F.explode(salts).alias("salt"))
+    own = F.when(F.col("type") == "response", F.col("payload")).otherwise(F.lit(b""))
+    joined = salted.drop("turn", "salts").join(payloads, ["digest", "salt"])
+    return joined.withColumn("record", F.concat(F.col("header").cast("binary"), own))
+
+
+def read_records(spark: SparkSession, folder: str, resolve: bool = False) -> DataFrame:
+    """``page_id, type, record``: the whole bytes of every record, without its closing empty
+    lines. A response is its header and payload; a revisit has no payload of its own. With
+    ``resolve`` also ``payload``, for a revisit that of the record it revisits."""
+    columns = ["page_id", "type", "record"] + (["payload"] if resolve else [])
+    return _rebuilt(spark, folder).select(*columns)
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every record.
 
-    Size and SHA-1 are taken from the stored payload and checked against the header's; only
-    these facts are joined, not the payloads. ``refers_to`` is the page of the record that a
-    revisit names.
+    Records are put together from header and payload and measured in the same stage. Their
+    length has to be what the header says, and so has the SHA-1. ``refers_to`` is the page of
+    the record that a revisit names.
     """
-    facts = _payloads(spark, folder).select(
-        "digest",
+    block = F.octet_length("record") - F.octet_length(F.substring_index("header", LINE + LINE, 1)) - 4
+    sha1 = base32_sha1(F.col("payload"))
+    wrong = F.raise_error(F.concat(F.lit("header differs from its record "), F.col("record_id")))
+    holds = (block == _field("Content-Length").cast("long")) & (F.col("sha1") == sha1)
+    measured = write_once(_rebuilt(spark, folder).select(
+        "page_id", "type", "refers_to_record",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
-        base32_sha1(F.col("payload")).alias("payload_digest"),
-    )
-    records = _headers(spark, folder).join(facts, "digest")
-    wrong = F.raise_error(F.concat(F.lit("header differs from its payload "), F.col("digest")))
-    checked = records.withColumn(
-        "payload_digest",
-        F.when(F.col("sha1") == F.col("payload_digest"), F.col("sha1")).otherwise(wrong),
-    )
+        F.when(holds, F.col("sha1")).otherwise(wrong).alias("payload_digest"),
+    ))
     named = _headers(spark, folder).filter("type = 'response'").select(
         F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to")
     )
-    return checked.join(named, "refers_to_record", "left").select(
-        "page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to"
-    )
+    columns = ["page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to"]
+    # only revisits look for a page: responses name none, and would meet under one null key
+    first = measured.filter("refers_to_record is null").withColumn("refers_to", F.lit(None).cast("long"))
+    again = measured.filter("refers_to_record is not null").join(named, "refers_to_record", "left")
+    return first.select(*columns).unionAll(again.select(*columns))
