@@ -41,6 +41,16 @@ def write_once(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+ROWS_A_TASK = 100_000
+
+
+def write_small(df: DataFrame) -> DataFrame:
+    """As :func:`write_once`, for a result of a few numbers a row that may be much smaller than
+    what it comes from: it is read by no more tasks than its rows are worth."""
+    kept = write_once(df)
+    return kept.coalesce(max(1, kept.count() // ROWS_A_TASK))
+
+
 def map_batches(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str
 ) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from textprep.llm.common import write_once
+from textprep.llm.common import write_small
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     the shuffle, so a node of very many neighbours meets them as one row per task. Loops and
     repeated edges do no harm; a null end drops its edge.
     """
-    stars = write_once(
+    stars = write_small(
         edges.filter("a is not null and b is not null and a != b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
@@ -35,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.filter("u != v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = write_once(
+        stars = write_small(
             small.filter("u != v").unionAll(lower.select("u", F.col("m").alias("v"))).distinct()
         )
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(

@@ -25,11 +25,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textprep.llm.common import parallelism, ship, write_once
+from textprep.llm.common import parallelism, ship, write_once, write_small
 from textprep.llm.components import components
 
 BLOCK = 1024  # rows of a block in the comparison across classes
-SHARE = 16  # the first round across classes looks at one tile of so many,
+SHARE = 8  # the first round across classes looks at one tile of so many,
 SMALL = 4  # and names so few pairs a node and block
 WIDEST = 1.5  # largest size of a band against that of the band below
 BROADCAST_ROWS = 2_000_000
@@ -307,7 +307,7 @@ def _linked(
         return rows
 
     mapped = with_ends(pairs, nodes, "signature").filter(possible("a_signature", "b_signature", "n", "m"))
-    mapped = write_once(mapped.select("a", "b").distinct())
+    mapped = write_small(mapped.select("a", "b").distinct())
     ends = mapped.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     exact = with_ends(mapped, _sets(texts, nodes, ends, width), "ngrams")
     return exact.filter(similar("a_ngrams", "b_ngrams")).select("a", "b").distinct()
@@ -317,8 +317,7 @@ def _across(
     tiles: DataFrame, classes: DataFrame, nodes: DataFrame, percent: int, share: int, most: int
 ) -> DataFrame:
     """Pairs ``a, b, n, m`` of nodes of different classes in one tile that sizes and signatures
-    allow; of every ``share``-th tile, and of each node the ``most`` likeliest. A node that has
-    more adds a row with null for ``b``.
+    allow; of every ``share``-th tile, and of each node the ``most`` likeliest.
 
     Only tiles of several classes are looked at. A tile is cut into blocks, and pairs of blocks
     are compared: each node outside their largest class with the nodes of other classes.
@@ -356,7 +355,7 @@ def _across(
     ship(spark)
     names = ["tile", "i", "j", "own", "key", "n", "component"]
 
-    def compared(tile: np.ndarray, maps: list[np.ndarray]) -> Iterator[tuple[list, list, list, list]]:
+    def compared(tile: np.ndarray, maps: list[np.ndarray]) -> Iterator[tuple[list[int], ...]]:
         i, j, own, key, n, component = tile.T[1:]
         found, counts = np.unique(component, return_counts=True)
         outside = component != found[counts.argmax()]
@@ -380,14 +379,13 @@ def _across(
             fits = allowed(unlike, n[to] + n[at], percent)
             to, unlike = to[fits], unlike[fits]
             if len(to) > most:
-                yield [key[at]], [None], [n[at]], [0]
                 to = to[np.argsort(unlike, kind="stable")[:most]]
             yield [key[at]] * len(to), key[to].tolist(), [n[at]] * len(to), n[to].tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: np.ndarray = np.empty((0, 7), np.int64)
         held_maps: list[np.ndarray] = []
-        told_before: set[tuple[int, int | None]] = set()  # of this task
+        told_before: set[tuple[int, int]] = set()  # of this task
 
         def told(rows: np.ndarray, maps: list[np.ndarray]) -> pa.RecordBatch:
             cuts = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
@@ -476,21 +474,21 @@ def _classes(texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     first = tiles.filter("other is not null").select(
         F.col("other").alias("a"), F.col("key").alias("b"), F.col("other_n").alias("n"), F.col("n").alias("m")
     )
-    links = write_once(_linked(first.distinct(), nodes, texts, width, percent))
-    tested = write_once(first.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct())
+    links = write_small(_linked(first.distinct(), nodes, texts, width, percent))
+    tested = write_small(first.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct())
     # nodes of one group meet in many tiles, and one link is enough to join two classes: few
-    # tiles and few pairs a node first, and all that is left between classes in the end
+    # tiles and few pairs a node first, then all that is left between classes
     share, most = SHARE, SMALL
     while True:
-        found = write_once(_across(tiles, components(links), nodes, percent, share, most))
-        more = found.filter("b is not null").withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")})
+        found = write_small(_across(tiles, components(links), nodes, percent, share, most))
+        more = found.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")})
         more = more.dropDuplicates(["low", "high"]).join(tested, ["low", "high"], "left_anti")
-        more = write_once(more)
-        links = write_once(links.unionAll(_linked(more.select("a", "b", "n", "m"), nodes, texts, width, percent)))
-        if share == 1 and found.filter("b is null").isEmpty():
+        more = write_small(more)
+        links = write_small(links.unionAll(_linked(more.select("a", "b", "n", "m"), nodes, texts, width, percent)))
+        if share == 1:
             break
-        tested = write_once(tested.unionAll(more.select("low", "high")))
-        share, most = max(1, share // 4), 4 * most if share > 4 else 1 << 62
+        tested = write_small(tested.unionAll(more.select("low", "high")))
+        share, most = 1, 1 << 62
     return rows, nodes, components(links).withColumnRenamed("node", "key")
 
 
