@@ -20,7 +20,8 @@ PARAGRAPH = r"(?:\S++[^\S\n]*+){1,16}+"
 THIRD = 32  # cells of each of the three parts of a table
 LOAD = 40  # digests that a table is given at a retry
 ROUNDS, RETRIES = 24, 8
-CELL = "struct<n:int,k:bigint,h:bigint>"
+CELL = "struct<p:int,n:int,k:bigint,h:bigint>"
+FULL = 3 * THIRD - 3  # a table of more cells in use has too many digests to peel
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -58,33 +59,49 @@ def _signed(keys: Column, sign: int) -> Column:
     return F.transform(keys, lambda k: F.struct(k.alias("k"), F.lit(sign).alias("n")))
 
 
-def _put(cells: Column, item: Column, sign: int = 1) -> Column:
-    """The table with a digest added (or taken out) in its three cells."""
-
-    def changed(at: Column) -> Column:
-        old = F.get(cells, at)
-        return F.array(F.struct(
-            (old["n"] + sign * item["n"]).alias("n"),
-            old["k"].bitwiseXOR(item["k"]).alias("k"),
-            old["h"].bitwiseXOR(item["h"]).alias("h"),
+def _added(items: Column, sign: int = 1) -> Column:
+    """What digests add to their three cells, or take out of them."""
+    def cells(x: Column) -> Column:
+        return F.array(*(
+            F.struct(
+                x[f"p{j}"].alias("p"), (sign * x["n"]).alias("n"), x["k"].alias("k"), x["h"].alias("h")
+            )
+            for j in range(3)
         ))
 
-    a, b, c = item["p0"], item["p1"], item["p2"]
-    return F.concat(
-        F.slice(cells, F.lit(1), a), changed(a),
-        F.slice(cells, a + 2, b - a - 1), changed(b),
-        F.slice(cells, b + 2, c - b - 1), changed(c),
-        F.slice(cells, c + 2, F.lit(3 * THIRD) - c - 1),
-    )
+    return F.flatten(F.transform(items, cells))
+
+
+def _merged(cells: Column) -> Column:
+    """A table: its cells that are not empty, by place, from any number of entries a cell."""
+
+    def runs(s: Column) -> Column:
+        def begins(i: Column) -> Column:
+            return (i == 1) | (F.get(s, i - 1)["p"] != F.get(s, i - 2)["p"])
 
+        def both(a: Column, b: Column) -> Column:
+            return F.struct(
+                b["p"].alias("p"), (a["n"] + b["n"]).alias("n"),
+                a["k"].bitwiseXOR(b["k"]).alias("k"), a["h"].bitwiseXOR(b["h"]).alias("h"),
+            )
 
-def _empty_table() -> Column:
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
-    return F.array_repeat(zero, 3 * THIRD).cast(f"array<{CELL}>")
+        def summed(starts: Column) -> Column:
+            def cell(at: Column, j: Column) -> Column:
+                size = F.coalesce(F.get(starts, j + 1), F.size(s) + 1) - at
+                first = F.get(s, at - 1)
+                return F.when(size == 1, first).otherwise(F.aggregate(F.slice(s, at + 1, size - 1), first, both))
+
+            return F.transform(starts, cell)
+
+        return _let(F.filter(F.sequence(F.lit(1), F.size(s)), begins), summed)
+
+    none = F.array().cast(f"array<{CELL}>")
+    whole = _let(F.sort_array(cells), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(none))
+    return F.filter(whole, lambda c: (c["n"] != 0) | (c["k"] != 0))
 
 
 def _filled(items: Column) -> Column:
-    return F.aggregate(items, _empty_table(), lambda cells, x: _put(cells, x))
+    return _merged(_added(items))
 
 
 def sketch(keys: Column) -> Column:
@@ -93,22 +110,21 @@ def sketch(keys: Column) -> Column:
 
 
 def subtract(left: Column, right: Column) -> Column:
-    return F.zip_with(
-        left, right,
-        lambda a, b: F.struct(
-            (a["n"] - b["n"]).alias("n"), a["k"].bitwiseXOR(b["k"]).alias("k"),
-            a["h"].bitwiseXOR(b["h"]).alias("h"),
-        ),
-    )
+    def minus(c: Column) -> Column:
+        return F.struct(c["p"].alias("p"), (-c["n"]).alias("n"), c["k"].alias("k"), c["h"].alias("h"))
+
+    return _merged(F.concat(left, F.transform(right, minus)))
 
 
 def peel(cells: Column, seed: Column) -> Column:
     """``found`` (``k``, and ``n``: 1 from the left, -1 from the right) and ``left``, the
     number of cells that are not empty at the end."""
     none = F.array().cast("array<struct<k:bigint,n:int>>")
-    state = F.struct(cells.alias("cells"), none.alias("found"), F.lit(True).alias("going"))
+    # with hardly a cell unused there are more digests than cells, and peeling ends early
+    state = F.struct(cells.alias("cells"), none.alias("found"), (F.size(cells) <= FULL).alias("going"))
 
     def round_(s: Column, _: Column) -> Column:
+        stopped = F.struct(s["cells"].alias("cells"), s["found"].alias("found"), F.lit(False).alias("going"))
         pure = F.filter(
             s["cells"], lambda c: F.abs(c["n"]).eqNullSafe(1) & (c["h"] == _check(c["k"]))
         )
@@ -117,19 +133,16 @@ def peel(cells: Column, seed: Column) -> Column:
         )
         after = _let(
             named,
-            lambda keys: F.struct(
-                F.aggregate(
-                    _items(keys, seed), s["cells"], lambda cells, x: _put(cells, x, -1)
-                ).alias("cells"),
+            lambda keys: F.when(F.size(keys) == 0, stopped).otherwise(F.struct(
+                _merged(F.concat(s["cells"], _added(_items(keys, seed), -1))).alias("cells"),
                 F.concat(s["found"], keys).alias("found"),
-                (F.size(keys) > 0).alias("going"),
-            ),
+                F.lit(True).alias("going"),
+            )),
         )
         return F.when(s["going"], after).otherwise(s)
 
     def end(s: Column) -> Column:
-        rest = F.filter(s["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0))
-        return F.struct(s["found"].alias("found"), F.size(rest).alias("left"))
+        return F.struct(s["found"].alias("found"), F.size(s["cells"]).alias("left"))
 
     rounds = F.sequence(F.lit(1), F.lit(ROUNDS))
     return F.aggregate(rounds, state, round_, end)
