@@ -39,7 +39,8 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-# SQL can state neither the dictionaries nor the tokenizer; tests compare with brute force.
+# SQL can state neither the dictionaries nor the tokenizer; tests/llm/test_pipeline.py compares
+# with a plain composition of the stages.
 ORACLE_SQL = None
 
 
