@@ -1,8 +1,9 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A paragraph is a line, cut after every sixteen words. Its digest goes into three cells of a
-table; a cell holds how many digests it took, their exclusive-or and that of their check
-values. Subtracting the tables of two versions leaves the digests in which they differ, and
+A paragraph is a line, or a part of one: lines are also cut behind words whose hash says so, one
+in sixteen, so a word put in or taken out changes the paragraphs around it and no others. Its
+digest goes into three cells of a table; a cell holds how many digests it took, their
+exclusive-or and that of their check values. Subtracting the tables of two versions leaves the digests in which they differ, and
 peeling takes them out: a cell of one digest names it, and removing it opens further cells.
 If that ends early, the digests are dealt to several tables; those of tables that do not peel
 are dealt again with other cells, and what no retry peels is told apart by the digests themselves.
@@ -16,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textprep.llm.common import parallelism
 
-PARAGRAPH = r"(?:\S++[^\S\n]*+){1,16}+"
+WORD = r"\S++\s*+"  # and the white space behind it
+CUT = 16  # a word in so many ends a paragraph, wherever it stands
 THIRD = 32  # cells of each of the three parts of a table
 LOAD = 40  # digests that a table is given at a retry
 ROUNDS, RETRIES = 24, 8
@@ -31,8 +33,27 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def paragraph_digests(text: Column) -> Column:
     """Distinct 64-bit digests of a text's paragraphs; none for a null text."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PARAGRAPH), 0)
-    return F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), 0)
+
+    def cut(units: Column) -> Column:
+        def digests(hashes: Column) -> Column:
+            def ends(i: Column) -> Column:
+                own = F.pmod(F.get(hashes, i - 1), F.lit(CUT)) == 0
+                return own | F.contains(F.get(units, i - 1), F.lit("\n")) | (i == F.size(hashes))
+
+            def spans(stops: Column) -> Column:
+                def digest(stop: Column, j: Column) -> Column:
+                    after = F.coalesce(F.get(stops, j - 1), F.lit(0))
+                    return F.xxhash64(F.slice(hashes, after + 1, stop - after))
+
+                return F.transform(stops, lambda stop, j: digest(stop, j))
+
+            return _let(F.filter(F.sequence(F.lit(1), F.size(hashes)), ends), spans)
+
+        return _let(F.transform(units, lambda u: F.xxhash64(u)), digests)
+
+    none = F.array().cast("array<bigint>")
+    return F.array_distinct(_let(words, lambda units: F.when(F.size(units) > 0, cut(units)).otherwise(none)))
 
 
 def _check(key: Column) -> Column:
