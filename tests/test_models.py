@@ -2,11 +2,13 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
@@ -26,14 +28,18 @@ from textprep.models import (
     WordTerms,
     balanced_forest,
     best_parameters,
+    cooccurrence_vectors,
     grid,
     mean_vectors,
     perceptron,
+    sample_rows,
     score_batches,
     search,
+    search_forests,
     weighted_logistic,
 )
 from textprep.operators import sampling, sequences
+from textprep.operators.evaluate import balanced_accuracy
 from textprep.plans import classical, conflict, sequence
 
 
@@ -241,3 +247,62 @@ def test_conflict_plan(spark):
     profile = conflict.class_profile(df).collect()
     assert [(r["label"], r["n"], r["share"]) for r in profile] == [(0, 1, 1.0)]
     assert math.isclose(sum(r["share"] for r in profile), 1.0)
+
+
+def test_cooccurrence_vectors_are_the_plain_ones(spark):
+    """Counts within a window, positive information, seeded directions; unknown words drop out."""
+    drawn = random.Random(4)
+    docs = [[drawn.choice("abcdefgh") * 2 for _ in range(drawn.randrange(9))] for _ in range(60)] + [None, ["rare", "aa"]]
+    df = spark.createDataFrame(list(enumerate(docs)), "id int, t array<string>").repartition(3)
+    tf = Counter(w for d in docs for w in d or [])
+    terms = sorted(tf, key=lambda w: (-tf[w], w))[:6]
+    n = Counter()
+    for d in docs:
+        known = [terms.index(w) for w in d or [] if w in terms]
+        for i, a in enumerate(known):
+            for b in known[i + 1 : i + 3]:
+                n[a, b] += 1
+                n[b, a] += 1
+    own, total = Counter(), sum(n.values())
+    for (a, _), k in n.items():
+        own[a] += k
+    want = {}
+    for (a, b), k in n.items():
+        p = math.log(k * total / (own[a] * own[b]))
+        if p > 0:
+            direction = np.random.default_rng([5, b]).standard_normal(12).astype(np.float32)
+            want[a] = want.get(a, 0) + p * direction
+    got = {r["term"]: np.array(r["vector"]) for r in cooccurrence_vectors(df, "t", 6, 12, 2, 5).collect()}
+    assert got.keys() == {terms[a] for a in want}
+    for a, v in want.items():
+        assert np.allclose(got[terms[a]], v / np.linalg.norm(v), atol=1e-5)
+
+
+def test_sample_keeps_shares(spark):
+    rows = spark.range(100).select("id", (F.col("id") % 5 == 0).cast("int").alias("label"))
+    sample = sample_rows(rows, 40)
+    assert Counter(r["label"] for r in sample.collect()) == {0: 32, 1: 8}
+    again = sample_rows(rows.repartition(3), 40)
+    assert sorted(r["id"] for r in sample.collect()) == sorted(r["id"] for r in again.collect())
+    assert sample_rows(rows, 100) is rows
+
+
+def test_forest_search_adds_up_trees(spark):
+    """The smaller count is the forest of its trees, the larger one adds others to it."""
+    drawn = random.Random(8)
+    rows = [(i, drawn.random(), drawn.random(), i % 3) for i in range(90)]
+    df = spark.createDataFrame(
+        [(i, x, y, int(x + 0.3 * y > 0.6), f) for i, x, y, f in rows], "id int, x double, y double, label int, fold int"
+    )
+    stages = [VectorAssembler(inputCols=["x", "y"], outputCol="features")]
+    found = search_forests(stages, df, {"numTrees": [5, 2], "maxDepth": [2, 4]}, folds=3)
+    assert [r["score"] for r in found] == sorted((r["score"] for r in found), reverse=True)
+    assert {(r["numTrees"], r["maxDepth"]) for r in found} == {(2, 2), (5, 2), (2, 4), (5, 4)}
+    assert found[0]["score"] > 0.8
+    scores = []
+    for fold in range(3):
+        data = stages[0].transform(df)
+        model = balanced_forest(numTrees=2, maxDepth=4).fit(data.filter(F.col("fold") != fold))
+        scores.append(balanced_accuracy(model.transform(data.filter(F.col("fold") == fold))).first()[0])
+    small = next(r["score"] for r in found if (r["numTrees"], r["maxDepth"]) == (2, 4))
+    assert small == pytest.approx(sum(scores) / 3)
