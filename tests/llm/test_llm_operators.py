@@ -549,3 +549,36 @@ def test_records_are_rebuilt_and_checked(spark, tmp_path, monkeypatch):
     spark.read.parquet(f"{folder}/payloads").write.parquet(str(tmp_path / "other" / "payloads"))
     with pytest.raises(Exception, match="header differs"):
         warc.read_index(spark, str(tmp_path / "other")).collect()
+
+
+def test_counting_goes_on_from_a_stored_tree(spark, tmp_path, monkeypatch):
+    """The second round of edits starts from the first one's tree and encodes only its own."""
+    texts = [(1, LONG), (2, "a b"), (3, None), (4, "x" * 5_000 + " tail it's"), (5, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+
+    def edits(start, delete, insert):
+        kinds = f"array<{token_counts.EDIT}>"
+        return F.array(F.struct(F.lit(start).alias("start"), F.lit(delete).alias("delete"), F.lit(insert).alias("insert"))).cast(kinds)
+
+    token_counts.count_edited(docs, edits(2, 1, "new words"), BYTE, keep=True).write.parquet(str(tmp_path / "state"))
+    state = spark.read.parquet(str(tmp_path / "state"))
+    again = token_counts.count_edited(state, edits(7, 3, " and 42"), BYTE, tree_col="tree", keep=True)
+    codec = Tokenizer.from_file(BYTE)
+    for r in again.collect():
+        text = dict(texts)[r["doc_id"]] or ""
+        once = text[:2] + "new words" + text[3:]
+        twice = once[:7] + " and 42" + once[10:]
+        assert r["text"] == twice and r["edited_chars"] == len(twice)
+        assert r["n_tokens"] == len(codec.encode(once, add_special_tokens=False).ids)
+        assert r["edited_tokens"] == len(codec.encode(twice, add_special_tokens=False).ids)
+        assert r["encoded_again"] < 100 or r["doc_id"] == 4
+    wrong = state.withColumn("text", F.concat("text", F.lit(" longer")))
+    for r in token_counts.count_edited(wrong, F.lit(None), BYTE, tree_col="tree").collect():
+        text = dict(texts)[r["doc_id"]] or ""
+        text = text[:2] + "new words" + text[3:] + " longer"
+        assert r["n_tokens"] == len(codec.encode(text, add_special_tokens=False).ids)
+
+    # a stored tree is not encoded at all
+    counted = token_counts.CountedText(LONG, token_counts.counter(BYTE))
+    monkeypatch.setattr(token_counts.Counter, "items", None)
+    assert token_counts.CountedText(LONG, token_counts.counter(BYTE), counted.tree()).n_tokens == counted.n_tokens

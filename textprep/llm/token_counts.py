@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
@@ -53,13 +54,24 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
+def _packed(leaf: list[tuple[int, int]]) -> bytes:
+    return np.array(leaf, "<u4").tobytes()
+
+
+def _unpacked(leaf: bytes) -> list[tuple[int, int]]:
+    return [(size, n) for size, n in np.frombuffer(leaf, "<u4").reshape(-1, 2).tolist()]
+
+
 class CountedText:
     """A text with the segment tree of its pre-tokens."""
 
-    def __init__(self, text: str, of: Counter):
+    def __init__(self, text: str, of: Counter, tree: list[bytes] | None = None):
+        """``tree`` is what :meth:`tree` gave for this text; of another length it is not used."""
         self.text, self.of = text, of
-        items = list(of.items(text))
-        self.leaves = [items[i : i + LEAF] for i in range(0, len(items), LEAF)] or [[]]
+        self.leaves = [] if tree is None else [_unpacked(leaf) for leaf in tree]
+        if not self.leaves or sum(size for leaf in self.leaves for size, _ in leaf) != len(text):
+            items = list(of.items(text))
+            self.leaves = [items[i : i + LEAF] for i in range(0, len(items), LEAF)] or [[]]
         self.width = 1 << (len(self.leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
         for i, leaf in enumerate(self.leaves):
@@ -68,6 +80,11 @@ class CountedText:
             self._join(node)
         self.encoded = 0  # code points encoded again by edits
 
+    def tree(self) -> list[bytes]:
+        """The leaves, to be taken up later; long ones are split, empty ones go."""
+        split = [leaf[i : i + LEAF] for leaf in self.leaves for i in range(0, len(leaf), LEAF)]
+        return [_packed(leaf) for leaf in split]
+
     @property
     def n_tokens(self) -> int:
         return self.tokens[1]
@@ -143,9 +160,16 @@ def count_edited(
     tokenizer_path: str,
     id_col: str = "doc_id",
     text_col: str = "text",
+    tree_col: str | None = None,
+    keep: bool = False,
 ) -> DataFrame:
     """``doc_id, n_tokens, edited_tokens, edited_chars, encoded_again`` of every row.
 
+    With ``keep`` also ``text`` and ``tree``, the edited text and its leaves: lengths and token
+    counts of its pre-tokens. Store them, and a later call that is given ``tree_col`` goes on
+    from there: it encodes what its own edits touch and nothing else. A null tree, or one that
+    does not add up to the text's length, is built anew.
+
     ``edits`` is an array of :data:`EDIT`, applied in order, each to the text that the ones
     before it left; places beyond the text are cut to it. ``encoded_again`` counts the code
     points that edits made necessary to encode. Special tokens in a text are ordinary text.
@@ -157,7 +181,10 @@ def count_edited(
         F.col(id_col).cast("long").alias("doc_id"),
         text_or_empty(text_col).alias("text"),
         F.coalesce(edits, F.array().cast(f"array<{EDIT}>")).alias("edits"),
+        (F.lit(None).cast("array<binary>") if tree_col is None else F.col(tree_col)).alias("tree"),
     )
+    names = ["doc_id", "n_tokens", "edited_tokens", "edited_chars", "encoded_again"]
+    names += ["text", "tree"] if keep else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = counter(tokenizer_path)
@@ -165,20 +192,21 @@ def count_edited(
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
                 out: list[tuple[int, ...]] = []
-                for text, changes in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    counted = CountedText(text, of)
+                kept: list[tuple[str, list[bytes]]] = []
+                for text, changes, tree in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
+                    counted = CountedText(text, of, tree)
                     before = counted.n_tokens
                     for x in changes:
                         if x is not None:
                             counted.edit(x["start"] or 0, x["delete"] or 0, x["insert"] or "")
                     out.append((before, counted.n_tokens, len(counted.text), counted.encoded))
+                    if keep:
+                        kept.append((counted.text, counted.tree()))
                 arrays = [pa.array(c, pa.int64()) for c in zip(*out)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *arrays],
-                    ["doc_id", "n_tokens", "edited_tokens", "edited_chars", "encoded_again"],
-                )
-
-    return rows.mapInArrow(
-        run,
-        "doc_id long, n_tokens long, edited_tokens long, edited_chars long, encoded_again long",
-    )
+                if keep:
+                    texts, trees = zip(*kept)
+                    arrays += [pa.array(texts, pa.string()), pa.array(trees, pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names)
+
+    kinds = ["long"] * 5 + ["string", "array<binary>"]
+    return rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
