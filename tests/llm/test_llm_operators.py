@@ -582,3 +582,19 @@ def test_counting_goes_on_from_a_stored_tree(spark, tmp_path, monkeypatch):
     counted = token_counts.CountedText(LONG, token_counts.counter(BYTE))
     monkeypatch.setattr(token_counts.Counter, "items", None)
     assert token_counts.CountedText(LONG, token_counts.counter(BYTE), counted.tree()).n_tokens == counted.n_tokens
+
+
+def test_whole_licenses_are_found_with_changes(spark):
+    """A license with its own copyright line, line breaks, and a word changed here and there."""
+    by_label = {label: text.split() for text, label in licenses.LICENSES.items()}
+    rows = []
+    for i, (label, text) in enumerate(sorted(by_label.items())):
+        changed = [("COPYING," if k % 25 == 24 else w.title()) + ("\n" if k % 9 == 8 else " ") for k, w in enumerate(text)]
+        rows.append((i, f"Copyright (c) 2020 Someone.\n{''.join(changed)}\nint main() {{}}", label))
+        rows.append((10 + i, " ".join(text[: len(text) // 3]), None))  # a third is not the license
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string").repartition(3)
+    found = {r["doc_id"]: r for r in licenses.scan(docs.drop("label")).collect()}
+    for i, _, label in rows:
+        have = {x for x in found[i]["labels"].split(",") if x.endswith("-text")}
+        assert have == ({label} if label else set()), (i, found[i]["labels"])
+        assert found[i]["n_base"] == 0 and (label is None or 0.6 <= found[i]["score"] <= 1)

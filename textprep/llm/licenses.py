@@ -41,6 +41,43 @@ NOTICES = {
     "this source code form is subject to the terms of the mozilla public license v 2 0":
         "mpl-2.0",
 }
+# Whole public licenses, and their labels. Words only, as :data:`WORD` finds them.
+LICENSES = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this "
+    "software and associated documentation files the software to deal in the software without "
+    "restriction including without limitation the rights to use copy modify merge publish "
+    "distribute sublicense and or sell copies of the software and to permit persons to whom the "
+    "software is furnished to do so subject to the following conditions the above copyright "
+    "notice and this permission notice shall be included in all copies or substantial portions "
+    "of the software the software is provided as is without warranty of any kind express or "
+    "implied including but not limited to the warranties of merchantability fitness for a "
+    "particular purpose and noninfringement in no event shall the authors or copyright holders "
+    "be liable for any claim damages or other liability whether in an action of contract tort "
+    "or otherwise arising from out of or in connection with the software or the use or other "
+    "dealings in the software": "mit-text",
+    "permission to use copy modify and or distribute this software for any purpose with or "
+    "without fee is hereby granted provided that the above copyright notice and this permission "
+    "notice appear in all copies the software is provided as is and the author disclaims all "
+    "warranties with regard to this software including all implied warranties of "
+    "merchantability and fitness in no event shall the author be liable for any special direct "
+    "indirect or consequential damages or any damages whatsoever resulting from loss of use "
+    "data or profits whether in an action of contract negligence or other tortious action "
+    "arising out of or in connection with the use or performance of this software": "isc-text",
+    "redistribution and use in source and binary forms with or without modification are "
+    "permitted provided that the following conditions are met redistributions of source code "
+    "must retain the above copyright notice this list of conditions and the following "
+    "disclaimer redistributions in binary form must reproduce the above copyright notice this "
+    "list of conditions and the following disclaimer in the documentation and or other "
+    "materials provided with the distribution this software is provided by the copyright "
+    "holders and contributors as is and any express or implied warranties including but not "
+    "limited to the implied warranties of merchantability and fitness for a particular purpose "
+    "are disclaimed in no event shall the copyright holder or contributors be liable for any "
+    "direct indirect incidental special exemplary or consequential damages including but not "
+    "limited to procurement of substitute goods or services loss of use data or profits or "
+    "business interruption however caused and on any theory of liability whether in contract "
+    "strict liability or tort including negligence or otherwise arising in any way out of the "
+    "use of this software even if advised of the possibility of such damage": "bsd-2-text",
+}
 PHRASE_GRAM, NOTICE_GRAM = 2, 4
 SLACK = 4  # words that may be put in or left out between neighbouring diagonals
 LEAST = 0.6  # share of a notice's grams; a notice of few grams has to be whole
@@ -73,13 +110,14 @@ def scan(
     id_col: str = "doc_id",
     text_col: str = "text",
     phrases: dict[str, str] = PHRASES,
-    notices: dict[str, str] = NOTICES,
+    notices: dict[str, str] = NOTICES | LICENSES,
 ) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
     ``n_base`` counts places of whole phrases, ``first_word`` and ``last_word`` are their
     smallest and largest start (null without any); labels are distinct, sorted and joined by
-    commas; ``score`` is the best share of grams of an accepted place, 0 without one. Null
+    commas; ``notices`` are the templates of the method's own labels, texts of any length;
+    ``score`` is the best share of grams of an accepted place, 0 without one. Null
     and empty texts have no words. Rows equal in id and text each get their own result row,
     as do rows with a null id; other columns are not read.
     """
