@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from textprep import functions as fn
+from textprep import functions as fn, session
 from textprep.operators import dedup, joins, sampling, sequences, tfidf
 from textprep.plans import conflict
 from textprep.session import pin_small
@@ -189,8 +189,10 @@ def test_scans_read_the_columns_they_need(spark):
     assert "ReadSchema: struct<doc_id:bigint,toxic:int>" in p
 
 
-def test_pin_small_keeps_large_tables_distributed(spark):
+def test_pin_small_keeps_large_tables_distributed(spark, monkeypatch):
     assert pin_small(spark.range(100), 99).count() == 100
     big, small = spark.range(100), spark.range(100)
     assert pin_small(big, 99) is big
     assert pin_small(small, 100) is not small
+    monkeypatch.setattr(session, "PINNED_BYTES", 100)
+    assert pin_small(small, 100) is small

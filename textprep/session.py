@@ -74,13 +74,16 @@ def stable(df: DataFrame, key: str | None = None) -> DataFrame:
     return kept if wide is kept else wide.checkpoint(eager=True)
 
 
+PINNED_BYTES = 256 << 20
+
+
 def pin_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hold a small table on the driver and mark it for broadcast.
 
-    At most ``max_rows + 1`` rows are fetched. A larger table is returned as it
-    is, unmarked, so joins with it shuffle instead.
+    At most ``max_rows + 1`` rows are fetched. A table of more rows, or of more than
+    :data:`PINNED_BYTES`, is returned as it is, unmarked, so joins with it shuffle instead.
     """
     rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
+    if rows.num_rows > max_rows or rows.nbytes > PINNED_BYTES:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
