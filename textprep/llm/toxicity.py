@@ -96,18 +96,26 @@ def gain_of(model: ToxicityModel) -> Gain:
     return Gain(model.ordinary, model.toxic)
 
 
-def typical_words(toxic: list[set[str]], ordinary: list[set[str]]) -> set[str]:
+def typical_words(rows: list[tuple[str, int]]) -> tuple[set[str], set[str]]:
     """Words of toxic texts, and of no ordinary one, with a piece that toxic texts hold at
-    least thirty times as often."""
-    counts = [Counter(p for w in ws for p in {q for x in w for q in pieces(x)}) for ws in (toxic, ordinary)]
-    least = max(3, 0.01 * len(toxic))
+    least thirty times as often; and all words of ordinary texts.
+
+    Texts are taken apart one by one: what stays is as large as their vocabulary.
+    """
+    counts, found, many = (Counter(), Counter()), (set(), set()), [0, 0]
+    for text, y in rows:
+        own = words(text)
+        counts[y].update({q for x in own for q in pieces(x)})
+        found[y].update(own)
+        many[y] += 1
+    least = max(3, 0.01 * many[1])
     telling = {
         p
-        for p, n in counts[0].items()
-        if n >= least and n / len(toxic) > 30 * (counts[1][p] + 0.2) / len(ordinary)
+        for p, n in counts[1].items()
+        if n >= least and n / many[1] > 30 * (counts[0][p] + 0.2) / many[0]
     }
-    clean = set().union(*ordinary)
-    return {x for w in toxic for x in w if x not in clean and not telling.isdisjoint(pieces(x))}
+    typical = {x for x in found[1] if x not in found[0] and not telling.isdisjoint(pieces(x))}
+    return typical, found[0]
 
 
 def train_dictionary(size: int, windows: list[bytes]) -> bytes:
@@ -136,14 +144,13 @@ def fit_texts(rows: list[tuple[str, int]], seed: int = 7) -> ToxicityModel | Non
     rows = sorted(set(rows))
     random.Random(seed).shuffle(rows)
     cut = 2 * len(rows) // 3
-    known = {y: [words(t) for t, label in rows[:cut] if label == y] for y in (0, 1)}
-    if min(len(known[0]), len(known[1])) < 3:
+    if any(sum(label == y for _, label in rows[:cut]) < 3 for y in (0, 1)):
         return None
-    typical = typical_words(known[1], known[0])
+    typical, known = typical_words(rows[:cut])
     if not typical:
         return None
     toxic = train_dictionary(32_768, [window(x) for x in sorted(typical)])
-    clean = sorted(set().union(*known[0]))
+    clean = sorted(known)
     chosen = random.Random(seed).sample(clean, min(30_000, len(clean)))
     sample = [window(x) for x in chosen]
     ordinary = train_dictionary(112_640, sample)
