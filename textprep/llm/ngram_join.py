@@ -29,7 +29,7 @@ from textprep.llm.common import parallelism, ship, write_once, write_small
 from textprep.llm.components import components
 
 BLOCK = 1024  # rows of a block in the comparison across classes
-SHARE = 8  # the first round across classes looks at one tile of so many,
+SHARE = 16  # the first round across classes looks at one tile of so many,
 SMALL = 4  # and names so few pairs a node and block
 WIDEST = 1.5  # largest size of a band against that of the band below
 BROADCAST_ROWS = 2_000_000
@@ -477,7 +477,7 @@ def _classes(texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     links = write_small(_linked(first.distinct(), nodes, texts, width, percent))
     tested = write_small(first.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct())
     # nodes of one group meet in many tiles, and one link is enough to join two classes: few
-    # tiles and few pairs a node first, then all that is left between classes
+    # tiles and few pairs a node first, more of both next, then all that is left between classes
     share, most = SHARE, SMALL
     while True:
         found = write_small(_across(tiles, components(links), nodes, percent, share, most))
@@ -488,7 +488,7 @@ def _classes(texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
         if share == 1:
             break
         tested = write_small(tested.unionAll(more.select("low", "high")))
-        share, most = 1, 1 << 62
+        share, most = max(1, share // 4), 4 * most if share > 4 else 1 << 62
     return rows, nodes, components(links).withColumnRenamed("node", "key")
 
 
