@@ -335,9 +335,10 @@ def _across(
         .agg(
             F.min("component").alias("low"), F.max("component").alias("high"),
             F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"),
+            F.min(F.struct("n", "key")).alias("first"),
         )
         .filter("low < high")
-        .select("tile", "blocks")
+        .select("tile", "blocks", F.col("first.key").alias("first"))
     )
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     others = F.transform(
@@ -347,10 +348,13 @@ def _across(
     rows = (
         placed.join(mixed, "tile")
         .join(nodes.select("key", "signature"), "key")
-        .select("tile", "key", "n", "component", "signature", own.alias("own"), F.explode(others).alias("t"))
-        .select("tile", "t.i", "t.j", "own", "key", "n", "component", "signature")
-        .repartition(parallelism(spark), "tile", "i", "j")
+        .select("first", "tile", "key", "n", "component", "signature", own.alias("own"), F.explode(others).alias("t"))
+        .select("first", "tile", "t.i", "t.j", "own", "key", "n", "component", "signature")
+        # tiles of one group mostly begin with the same node: a task that has them all names a
+        # pair once, and a large group is still spread by its blocks
+        .repartition(parallelism(spark), "first", "i", "j")
         .sortWithinPartitions("tile", "i", "j", "n", "key")
+        .drop("first")
     )
     ship(spark)
     names = ["tile", "i", "j", "own", "key", "n", "component"]
