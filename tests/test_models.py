@@ -202,6 +202,35 @@ def test_mean_vectors(spark):
         assert {r["id"]: list(r["features"]) for r in rows} == {1: [2.0, 2.0], 2: [0.0, 0.0], 3: [0.0, 0.0]}
 
 
+def test_mean_vectors_of_large_tables(spark):
+    """Copies of a term count each, rows of one key are one document, and words beyond the room
+    in a task are looked up apart."""
+    draw = random.Random(8)
+    table = [(f"w{i}", [float(i), draw.random(), -1.0]) for i in (*range(30), 3, 3, 29)]
+    docs = [(i // 2, [f"w{min(draw.randrange(40), draw.randrange(40))}" for _ in range(draw.randrange(12))]) for i in range(40)]
+    docs.append((99, None))
+    want = {}
+    for k in {k for k, _ in docs}:
+        own = [d or [] for j, d in docs if j == k]
+        hits = [v for d in own for w in d for t, v in table if t == w]
+        n = max(len(hits) + len(own) - 1, 1)
+        want[k] = np.sum([*hits, [0.0] * 3], axis=0) / n
+    df = spark.createDataFrame(docs, "id int, t array<string>").repartition(3)
+    words = spark.createDataFrame(table, "term string, vector array<double>")
+    for limit, room in ((100, 1 << 20), (0, 1 << 20), (0, 10 * 24), (0, 0)):
+        rows = mean_vectors(df, "t", words, ["id"], 3, limit, hot_bytes=room).collect()
+        assert len(rows) == len(want)
+        assert all(np.allclose(r["features"].toArray(), want[r["id"]]) for r in rows)
+
+
+def test_mean_vectors_exchange_one_row_a_document(spark):
+    """Vectors are added up before the exchange, no row a word is joined or sent."""
+    df = spark.range(50).select("id", F.array(F.lit("a"), F.lit("b")).alias("t"))
+    table = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [3.0, 4.0])], "term string, vector array<float>")
+    plan = mean_vectors(df, "t", table, ["id"], 2, 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Generate" not in plan
+
+
 def test_vector_classifiers(spark, texts):
     """Words carry a vector that tells the two kinds apart."""
     words = texts.select(F.explode(word_tokens("text")).alias("term")).distinct()
