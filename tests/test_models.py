@@ -38,6 +38,7 @@ from textprep.models import (
     search_forests,
     weighted_logistic,
 )
+from textprep.models import cooccurrence
 from textprep.operators import sampling, sequences
 from textprep.operators.evaluate import balanced_accuracy
 from textprep.plans import classical, conflict, sequence
@@ -307,6 +308,27 @@ def test_cooccurrence_vectors_are_the_plain_ones(spark):
         assert np.allclose(got[terms[a]], v / np.linalg.norm(v), atol=1e-5)
 
 
+def test_pairs_are_counted_once_in_bounded_steps(spark, monkeypatch):
+    """Slices and flushes of a task change no count; a pair is sent one way round."""
+    drawn = random.Random(9)
+    docs = [[drawn.choice("abcdef") for _ in range(drawn.randrange(30))] for _ in range(40)]
+    want = Counter()
+    for d in docs:
+        for i, a in enumerate(d):
+            for b in d[i + 1 : i + 4]:
+                want[a, b] += 1
+                want[b, a] += 1
+    df = spark.createDataFrame([(d,) for d in docs], "t array<string>").repartition(2)
+    for step, pairs in ((250_000, 4_000_000), (7, 5), (1, 1)):
+        monkeypatch.setattr(cooccurrence, "STEP", step)
+        monkeypatch.setattr(cooccurrence, "PAIRS", pairs)
+        once = cooccurrence.pair_counts(df, "t", list("abcdef"), 3).collect()
+        assert all(r["w"] <= r["c"] for r in once)
+        again = spark.createDataFrame(once, "w int, c int, n bigint")
+        got = {("abcdef"[r["w"]], "abcdef"[r["c"]]): r["n"] for r in cooccurrence.both_ways(again).collect()}
+        assert got == dict(want)
+
+
 def test_sample_keeps_shares(spark):
     rows = spark.range(100).select("id", (F.col("id") % 5 == 0).cast("int").alias("label"))
     sample = sample_rows(rows, 40)
