@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -365,3 +366,31 @@ def test_dense_counts_have_a_bound(spark):
     df = spark.createDataFrame([(1_000_000_000,)], "label int")
     with pytest.raises(Exception, match="a label is over"):
         profile.dense_counts(df).collect()
+
+
+def test_slices_hold_every_row_once():
+    """Pieces end between rows, a longer row is one of its own, and numbering starts anew."""
+    lists = [["a"] * n if n is not None else None for n in (3, 0, None, 12, 1, 4, 5, 0)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(lists, pa.list_(pa.string()))], ["id", "t"])
+    pieces = list(tfidf.slicer("t", 5)([batch, batch.slice(0, 0), batch.slice(3)]))
+    assert [r["id"] for p in pieces for r in p.to_pylist()] == [*range(8), *range(3, 8)]
+    assert [sum(len(t or []) for t in p.column("t").to_pylist()) for p in pieces[:4]] == [3, 12, 5, 5]
+    assert all(p.num_rows == 1 or sum(len(t or []) for t in p.column("t").to_pylist()) <= 5 for p in pieces)
+
+
+def test_counts_and_weights_in_slices(spark, monkeypatch):
+    """The size of a piece changes no sketch, count or weight."""
+    drawn = random.Random(12)
+    docs = [(i, [f"t{drawn.randrange(9)}" for _ in range(drawn.randrange(8))]) for i in range(50)]
+    df = spark.createDataFrame([*docs, (50, None)], "id int, t array<string>").coalesce(1)
+    stats, found = [], []
+    make = tfidf.slicer
+    for most in (100_000, 3):
+        monkeypatch.setattr(tfidf, "slicer", lambda c, most=most: make(c, most))
+        kept = tfidf.bounded_terms(df, "t", 51, 2, 0.9, cells=1 << 10)
+        stats.append(sorted(map(tuple, kept.collect())))
+        weighed = tfidf.weigh_documents(df, "t", kept, 51, ["id"], 20)
+        found.append(sorted((r["id"], r["term"], round(r["weight"], 12)) for r in weighed.collect()))
+    plain = tfidf.df_bounds(tfidf.term_stats(tfidf.term_counts(df, "t", [])), 51, 2, 0.9)
+    assert stats[0] == stats[1] == sorted(map(tuple, plain.collect()))
+    assert found[0] == found[1] and found[0]
