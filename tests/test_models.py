@@ -39,7 +39,7 @@ from textprep.models import (
     weighted_logistic,
 )
 from textprep.models import cooccurrence
-from textprep.operators import sampling, sequences
+from textprep.operators import sampling, sequences, tfidf
 from textprep.operators.evaluate import balanced_accuracy
 from textprep.plans import classical, conflict, sequence
 
@@ -357,3 +357,17 @@ def test_forest_search_adds_up_trees(spark):
         scores.append(balanced_accuracy(model.transform(data.filter(F.col("fold") == fold))).first()[0])
     small = next(r["score"] for r in found if (r["numTrees"], r["maxDepth"]) == (2, 4))
     assert small == pytest.approx(sum(scores) / 3)
+
+
+def test_tfidf_stage_counts_no_rare_terms(spark):
+    """Fitting drops rare terms by the sketch, before terms are sorted or exchanged."""
+    common = [f"c{i}" for i in range(5)]
+    df = spark.createDataFrame([([*common, f"r{i}"],) for i in range(400)], "terms array<string>").repartition(2)
+    seen = []
+    made = tfidf.term_counts
+    try:
+        tfidf.term_counts = lambda *a: seen.append(a) or made(*a)
+        model = TfidfVectors(minDF=2, maxDF=1.0, maxFeatures=10).fit(df)
+    finally:
+        tfidf.term_counts = made
+    assert not seen and model.stages[0].vocabulary == common
