@@ -125,6 +125,15 @@ def test_peeling_recovers_digests(spark):
     assert [r["d"]["left"] for r in found] == [0, 0]
 
 
+def test_cells_are_added_up_in_place(spark):
+    """No copy of a whole table for each of its cells."""
+    frame = spark.createDataFrame([(list(range(60)),)], "a array<bigint>")
+    plan = frame.select(fingerprint.peel(fingerprint.sketch(F.col("a")), F.lit(0)).alias("r"))
+    assert "slice(" not in plan._jdf.queryExecution().analyzed().toString()
+    found, left = plan.first()["r"]
+    assert left == 0 and sorted((x["k"], x["n"]) for x in found) == [(k, 1) for k in range(60)]
+
+
 @pytest.mark.parametrize("retries", [1, 8])
 def test_digests_of_equal_cells_are_recovered(spark, monkeypatch, retries):
     """With two cells a part, every eighth pair of a table shares all its cells."""
