@@ -253,6 +253,26 @@ def test_learned_vectors(texts):
     assert BalancedAccuracyEvaluator().evaluate(model.transform(rows)) > 0.9
 
 
+def test_learned_vectors_read_stored_ids(texts, monkeypatch):
+    """The learner's passes do not take the texts apart again."""
+    from pyspark.ml import Estimator
+    from pyspark.ml.feature import SQLTransformer
+
+    plans = []
+
+    class Seen(Estimator):
+        def _fit(self, dataset):
+            plans.append(dataset._jdf.queryExecution().optimizedPlan().toString())
+            return SQLTransformer(statement="SELECT *, size(words) AS n FROM __THIS__")
+
+    monkeypatch.setattr(sequence, "word2vec_classifier", lambda *_, **__: Pipeline(stages=[Seen()]))
+    rows = texts.withColumn("clean_text", F.col("text"))
+    model = sequence.fit_learned_vectors(rows, sequence.GRU)
+    assert len(plans) == 1 and "clean_text" not in plans[0] and "EvalPython" not in plans[0]
+    assert model.transform(rows).filter("n > 0").count() == rows.count()
+
+
+
 def test_sequence_stages(texts):
     stages = [Cleaner(preset="word_basic"), SequenceTokens(), Vocabulary(numWords=30, oov=True),
               PadSequence(length=10, padding="post")]
