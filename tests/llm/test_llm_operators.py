@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -607,3 +608,35 @@ def test_whole_licenses_are_found_with_changes(spark):
         have = {x for x in found[i]["labels"].split(",") if x.endswith("-text")}
         assert have == ({label} if label else set()), (i, found[i]["labels"])
         assert found[i]["n_base"] == 0 and (label is None or 0.6 <= found[i]["score"] <= 1)
+
+
+def test_texts_are_taken_in_pieces_of_bounded_size(spark):
+    """Rows of an Arrow batch that are long make small pieces, and no row is lost."""
+    sizes = [20_000] * 300 + [3_000_000, 0] + [1] * 5_000
+    docs = spark.createDataFrame([("x" * n,) for n in sizes], "text string").coalesce(1)
+
+    def step(piece):
+        arrays = [[piece.num_rows], [sum(map(len, piece.column("text").to_pylist()))]]
+        return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["rows", "bytes"])
+
+    found = ngram_join._batches(docs, step, "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in found) == len(sizes) and sum(r["bytes"] for r in found) == sum(sizes)
+    assert all(r["rows"] == 1 or r["bytes"] <= 1 << 20 for r in found)
+
+
+def test_scoring_leaves_nothing_in_workers(spark):
+    """What a task remembers of words goes with it: its worker goes on to other stages."""
+    rows = [(f"fine words {i} and more of them", 0) for i in range(40)]
+    rows += [(f"awful dreadful{i} swearing", 1) for i in range(40)]
+    model = toxicity.fit_texts(rows)
+    frame = spark.createDataFrame([(t,) for t, _ in rows], "text string").coalesce(1)
+    assert frame.select(toxicity.score(model, F.col("text")).alias("s")).filter("s is null").count() == 0
+
+    def left(batches):
+        import gc
+
+        kept = sum(type(x).__name__ == "Gain" for x in gc.get_objects())
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([kept])], ["kept"])
+
+    assert {r["kept"] for r in frame.mapInArrow(left, "kept long").collect()} == {0}
