@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from test_operators import brute_tfidf
 from textprep.functions import sequence_tokens, word_tokens
+from textprep.models import classifiers
 from textprep.models import (
     BalancedAccuracyEvaluator,
     Chi2Selector,
@@ -174,6 +175,56 @@ def test_features_are_fitted_once_per_fold(parts):
     assert CountingTfidf.fits == 3 + 1  # one per fold, one for the final model
 
 
+def test_a_search_takes_terms_apart_once(parts, monkeypatch):
+    """Not once a fold; scores and the best model are those of a search that does."""
+    train, _ = parts
+    sketches, sketch = [], tfidf.sketch
+    monkeypatch.setattr(tfidf, "sketch", lambda *a, **k: sketches.append(a) or sketch(*a, **k))
+    svc = MarginSVC(maxIter=2)
+    stages = [WordTerms(), TfidfVectors(minDF=3, maxDF=0.7, maxFeatures=40), Chi2Selector(k=20), svc]
+    maps = grid(svc, {"C": [0.1, 1.0]})
+    shared = search(SharedFeatures(stages=stages), maps, train, folds=3)
+    assert len(sketches) == 1
+    plain = search(Pipeline(stages=stages), maps, train, folds=3)
+    assert shared.avgMetrics == pytest.approx(plain.avgMetrics)
+    a, b = ([s for m in x.bestModel.stages for s in getattr(m, "stages", [m])] for x in (shared, plain))
+    assert a[1].vocabulary == b[1].vocabulary
+    assert a[2].getOrDefault("idf") == pytest.approx(b[2].getOrDefault("idf"), rel=1e-14)
+    assert a[3].getIndices() == b[3].getIndices()
+
+
+def test_solver_steps_need_no_exchange(spark, monkeypatch):
+    """Rows that are kept already are not kept again, and a step's sums need one stage."""
+    monkeypatch.setattr(classifiers, "ROWS_A_TASK", 10)
+    rows = spark.range(200).repartition(20).persist()
+    assert rows.count() == 200
+    with classifiers.held(rows) as kept:
+        assert kept.rdd.getNumPartitions() == 5
+    assert rows.storageLevel.useMemory
+    assert [classifiers.solver_tasks(n) for n in (5, 30, 499_999, 2_000_000)] == [1, 3, 5, 20]
+    rows.unpersist()
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_counts_fit_as_terms_do(spark, least):
+    """On all rows and on those of every fold's training part; rows without a fold count too."""
+    draw = random.Random(3)
+    docs = [(i, draw.choice([0, 1, 2, None]), [f"t{min(draw.randrange(60), draw.randrange(60))}" for _ in range(draw.randrange(15))]) for i in range(80)]
+    df = spark.createDataFrame(docs, "id int, fold int, terms array<string>").repartition(3)
+    plain = TfidfVectors(minDF=least, maxDF=0.3, maxFeatures=20)
+    stage, rows = plain.counted(df, "fold", 3)
+    assert rows.columns == ["id", "fold", "terms"]
+    for seen in (F.lit(True), *(~F.col("fold").eqNullSafe(i) for i in range(3))):
+        want, got = plain.fit(df.filter(seen)), stage.fit(rows.filter(seen))
+        assert got.of_terms.stages[0].vocabulary == want.stages[0].vocabulary
+        idf = want.stages[1].getOrDefault("idf")
+        assert got.of_terms.stages[1].getOrDefault("idf") == pytest.approx(idf, rel=1e-14)
+        a = {r["id"]: r["tfidf"] for r in want.transform(df).select("id", "tfidf").collect()}
+        b = {r["id"]: r["tfidf"] for r in got.transform(rows).select("id", "tfidf").collect()}
+        assert a.keys() == b.keys()
+        assert all(a[k].size == b[k].size and np.allclose(a[k].toArray(), b[k].toArray()) for k in a)
+
+
 def test_probability_follows_the_margin(parts):
     train, test = parts
     model = classical.svm_with_probability(FEATURES, folds=3, maxIter=6).fit(train)
